@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.llm.encode import encode_texts
 from glyphmill.llm.neardup import near_duplicates
-from glyphmill.storage import read_table
+from glyphmill.llm.spans import shared_spans
+from glyphmill.llm.terms import TermStore
+from glyphmill.storage import new_path, read_table
 
 
 def p1_near(spark: SparkSession, folder: str):
@@ -19,8 +22,33 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_near(spark, folder).record_pairs().select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
 
 
+def p2_store(spark: SparkSession, folder: str) -> TermStore:
+    """The manifest in two batches: what came in by the middle of its time, then the rest, re-recorded rows included."""
+    m = read_table(spark, folder, "manifest").select("sample_id", "text", "model_id", "ingested_at")
+    at = F.unix_micros("ingested_at")
+    lo, hi = m.agg(F.min(at), F.max(at)).first()
+    late = F.coalesce(at > F.lit(((lo or 0) + (hi or 0)) // 2), F.lit(False))
+    store = TermStore(spark, new_path(spark, "terms"), {"text": "words", "model_id": "value"})
+    for batch in (m.where(~late), m.where(late)):
+        store.apply(batch, "sample_id", latest_by="ingested_at")
+    return store
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_store(spark, folder).marked().where("mark is not null").select("field", "value", "mark")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = shared_spans(read_table(spark, folder, "manifest"), "sample_id", "text", length=200)
+    return spans.stretches().select(F.col("id").alias("sample_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
