@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.encode import encode_texts
+from glyphmill.llm.lookalike import hidden_pairs, uniform_texts
 from glyphmill.llm.neardup import near_duplicates
 from glyphmill.llm.spans import shared_spans
 from glyphmill.llm.terms import TermStore
@@ -47,8 +48,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(read_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_pairs(read_table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return uniform_texts(read_table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
