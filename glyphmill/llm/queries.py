@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.encode import encode_texts
 from glyphmill.llm.lookalike import hidden_pairs, uniform_texts
 from glyphmill.llm.neardup import near_duplicates
+from glyphmill.llm.pairs import pair_defects
 from glyphmill.llm.sentences import sentence_units
 from glyphmill.llm.spans import shared_spans
 from glyphmill.llm.terms import TermStore
@@ -45,6 +46,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.stretches().select(F.col("id").alias("sample_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    answers = read_table(spark, folder, "manifest").where("kind = 'model_output'")
+    return pair_defects(answers, read_table(spark, folder, "prompts")).found.select(F.col("id").alias("sample_id"), "defect")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     units = sentence_units(read_table(spark, folder, "documents"), "doc_id", "text", "prompt_category")
     return units.select("doc_id", F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
@@ -63,7 +69,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
