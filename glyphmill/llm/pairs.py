@@ -3,7 +3,9 @@
 Copies: the answer is compressed with its prompt as a zstandard dictionary; what is left over is what the
 answer adds. Language and refusals: dictionaries of words and phrases. Breaking off: open brackets and
 quotations, and a model of terminal contexts, which counts over all answers how often the last words
-before a place end a sentence, an item or a text there, and how often they go on.
+before a place end a sentence, an item or a text there, and how often they go on. Only the contexts in
+which some answer stops without a mark are counted: their hashes, as a bit table of fixed size, filter the
+others before the shuffle, and the counts of the contexts themselves are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.sentences import units
 from glyphmill.llm.words import mix
+from glyphmill.storage import materialise
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 
@@ -32,14 +36,14 @@ PLACEHOLDERS = frozenset("na|none|null|nil|nan|undefined|empty|blank|no answer|n
 
 # Frequent words that few other languages of the list share.
 FUNCTION_WORDS = {
-    "en": "the and of every this from their with some because that which was were did these once another people who when while until although whereas unless but said through over before after beyond has have had they you your it is are at by for not no would",
-    "de": "der die das und ist nicht mit von dem den ein eine einen einer im am zu auf für über trotz nach vor neben ohne gegen seit jeden jeder bei sich wir ich sie aber oder weil warum wie auch nur aus zwischen durch hat wird",
-    "fr": "le les des une du et est dans pour par sur avec sans au aux chez car où pourquoi depuis avant après pendant vers près qui que ne pas ce cette ces il elle nous vous mais ou dès malgré côté même chaque certains",
-    "es": "el los las una del y es en con por para según hacia desde antes después durante junto cerca porque dónde cada hay cosas que no pero como más muy su sus al lo dijo pesar sin",
+    "en": "the and of a an in on to as at every this that these those from their them with some because which what was were did do does once another people who when while until although whereas unless but said through over before after beyond has have had they you your it its is are be by for not no or if into about keep kept give write list explain describe tell post note text only answer plain one how why where there then so would could can will more than any all we he she his her our my i",
+    "de": "der die das und ist nicht mit von dem den des ein eine einen einer im am in an zu zum zur auf für über trotz nach vor neben ohne gegen seit jeden jeder bei sich wir ich sie er es aber oder weil warum wie auch nur aus zwischen durch hat wird war schreibe kurzen text titel als um so da sind dass",
+    "fr": "le la les des de du un une et est dans pour par sur avec sans au aux chez car où pourquoi depuis avant après pendant vers près qui que ne pas ce cette ces il elle nous vous mais ou dès malgré côté même chaque certains quelques phrases simples écris en à a se son sa ses plus comme",
+    "es": "el la los las un una del de y e es en con por para según hacia desde antes después durante junto cerca porque dónde cada hay cosas que no pero como más muy su sus al lo dijo pesar sin sobre escribe texto breve se a está son",
     "ru": "и в не на а как что это по из у после зачем каждый ещё без очень",
-    "it": "il gli della delle degli nel nella che non con per una sono è dove perché dopo prima ogni",
-    "pt": "o os uma do da dos das em com para não que por mais como são está onde depois antes cada",
-    "nl": "de het een van en niet met voor op zijn naar ook maar bij uit om door waar waarom elke",
+    "it": "il lo la i gli le di del della dei delle degli e in nel nella che non con per un una sono è dove perché dopo prima ogni a da si al su come più",
+    "pt": "o a os as um uma de do da dos das e em no na com para não que por mais como são está onde depois antes cada se ao seu sua",
+    "nl": "de het een van en in niet met voor op zijn naar ook maar bij uit om door waar waarom elke te dat die is was aan er",
 }
 
 # Names of languages as prompts ask for them.
@@ -114,8 +118,23 @@ def refusal_pattern() -> re.Pattern[str]:
     return re.compile("|".join(f"(?:{line.replace('(~)?', few).replace(' ~', ' ' + few)})" for line in REFUSALS.splitlines()))
 
 
+#: Parts of words, one of which stands in every phrase of REFUSALS.
+REFUSAL_STEMS = "sorry|can't|cannot|can not|could not|won't|will not|unable|not able|not allowed|not permitted|feel able|declin|i must|have to|need to|going to have|isn't something|is not something|my guidelines|my rules|my polic|my instructions|my principles|rather not|prefer|no answer can|what i |respectfully|refuse|ich |muss |tut mir leid|désolé|regrette|préfère|refus|déclin|je ne |impossible|m'est pas|siento|lamento|me temo|no me es|no puedo|no podr|no debo|prefier|preferir|debo |tengo que|я |не могу|не смогу|вынужд|приходится|должен|должна|предпоч|лучше|できません|かねます|お断り|書けません|応じられ|控え|抱歉|对不起|很遗憾|我不|我无|我没|我拒|无法|不能|لا أستطيع|لا يمكنني|أعتذر|آسف|عذرا|क्षमा|माफ़|नहीं|मदद|ขออภัย|ขอโทษ|ไม่สามารถ|ไม่อาจ"
+
+
+@functools.lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for k, stem in enumerate(REFUSAL_STEMS.split("|")):
+        a.add_word(stem, k)
+    a.make_automaton()
+    return a
+
+
 def fold(text: str) -> str:
     """Plain lower case with single blanks, for comparisons."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     shown = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
     return " ".join(shown.casefold().replace("’", "'").replace("‘", "'").split())
 
@@ -158,7 +177,7 @@ def is_copy(answer: str, prompt: str, most_new: int = 20, least_part: float = 0.
 
 def is_refusal(text: str) -> bool:
     """Declines outside of quotations, and hardly says anything else."""
-    if len(text) > 700:
+    if len(text) > 700 or next(_stems().iter(text.lower().replace("’", "'")), None) is None:
         return False
     bare = QUOTED.sub(" ", text)
     pattern, rest, hits = refusal_pattern(), 0, 0
@@ -239,116 +258,167 @@ def _cjk(word: str) -> bool:
     return any(_script(c) in ("kana", "han") for c in word)
 
 
+SCRIPTS = {"ru": re.compile("[Ѐ-ԯ]"), "ja": re.compile("[぀-ヿ一-鿿]"), "ar": re.compile("[؀-ۿ]"), "hi": re.compile("[ऀ-ॿ]"), "th": re.compile("[฀-๿]")}
+
+
+def _surely(text: str, lang: str) -> bool:
+    """A quick look that finds most answers in the right language; the others are judged sentence by sentence."""
+    if lang in SCRIPTS:
+        own = len(SCRIPTS[lang].findall(text))
+        if own < 0.6 * len(text):
+            return False
+        return lang != "ja" or len(re.findall("[぀-ヿ]", text)) * 8 > own
+    if lang not in FUNCTION_WORDS:
+        return False
+    words, known = CHARS.findall(text), _word_languages()
+    if not text.isascii() and len(FOREIGN_LETTERS.findall(text)) > 0.1 * len(text):
+        return False
+    votes: Counter[str] = Counter()
+    for w in words:
+        if (langs := known.get(w.lower())) is not None:
+            votes.update(langs.keys())
+    rest = max((n for k, n in votes.items() if k != lang), default=0)
+    return votes[lang] >= 0.2 * len(words) > 0 and votes[lang] >= 1.25 * rest
+
+
+#: Letters beyond Latin, Greek and their marks.
+FOREIGN_LETTERS = re.compile("[\u0400-\u1dff\u2e80-\ud7ff\uf900-\ufaff]")
+
+
 def is_other_language(text: str, prompt: str, least: float = 0.55) -> bool:
     wanted = expected_language(prompt)
+    if not wanted or _surely(text, wanted):
+        return False
     shares = language_shares(text)
     return bool(wanted and shares and sum(v for k, v in shares.items() if k != wanted) >= least and sum(map(len, CHARS.findall(text))) >= 12)
 
 
-_memo: dict[str, int] = {}
+class Vocabulary:
+    """Small numbers for tokens, with arrays of what they are; it is emptied when it has grown."""
 
+    LIMIT = 400_000
 
-def _token_hash(token: str) -> int:
-    h = _memo.get(token)
-    if h is None:
-        if len(_memo) >= 300_000:
-            _memo.clear()
-        h = _memo[token] = xxhash.xxh3_64_intdigest(token.lower() if len(token) > 1 else token)
-    return h
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes, self.classes, self.flags = [], [], []
 
+    def add(self, token: str) -> int:
+        first = token[0]
+        h = xxhash.xxh3_64_intdigest(token.lower())
+        self.hashes.append(h)
+        self.classes.append(NAME if first.isupper() and len(token) > 1 else DIGITS if first.isdigit() else h)
+        self.flags.append(1 if first in FINAL else 2 if first == "\n" else 0)
+        n = self.number[token] = len(self.number)
+        return n
 
-NAME, DIGITS, LINE = (xxhash.xxh3_64_intdigest(x) for x in ("<name>", "<digits>", "<line>"))
-#: Seeds of the contexts: the last word, two, three, the last two with names and numbers as classes, and of word ends.
-_SEEDS = [np.uint64(x) for x in (11, 22, 33, 44, 55, 66)]
+    def numbers(self, tokens: list[str]) -> list[int]:
+        get, add = self.number.get, self.add
+        return [n if (n := get(t)) is not None else add(t) for t in tokens]
 
+    def fresh(self) -> Vocabulary:
+        return Vocabulary() if len(self.number) > self.LIMIT else self
 
-def _contexts(tokens: list[str], lines_end: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Context hashes (4 kinds by token that isn't a final mark) and whether the text, sentence or item ends there."""
-    if not tokens:
-        return np.empty((4, 0), np.uint64), np.empty(0, bool)
-    h = np.fromiter(map(_token_hash, tokens), np.uint64, len(tokens))
-    first = [t[0] for t in tokens]
-    mark = np.fromiter((c in FINAL for c in first), bool, len(tokens))
-    line = np.fromiter((c == "\n" for c in first), bool, len(tokens))
-    cls = np.fromiter((NAME if c.isupper() and len(t) > 1 else DIGITS if c.isdigit() else x for t, c, x in zip(tokens, first, h.tolist())), np.uint64, len(tokens))
-    if not lines_end:
-        keep = ~line
-        h, cls, mark, line = h[keep], cls[keep], mark[keep], line[keep]
-        if not len(h):
-            return np.empty((4, 0), np.uint64), np.empty(0, bool)
-    stop = mark | line
-    ends = np.r_[stop[1:], True]
-    shift = lambda x, n: np.r_[np.full(min(n, len(x)), LINE, np.uint64), x[: len(x) - n] if n < len(x) else x[:0]]
-    side = np.uint64(7 if lines_end else 3)
+
+NAME, DIGITS, LINE, ENDING = (xxhash.xxh3_64_intdigest(x) for x in ("<name>", "<digits>", "<line>", "<ending>"))
+#: Contexts, most telling first: the last three words, with names and numbers as classes; the last two; two as written; the last.
+KINDS = ("three", "two", "written", "one", "ending", "whole")
+
+
+def contexts(numbers: list[int], vocabulary: Vocabulary, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the contexts (a row for each of the first four KINDS) of the tokens that aren't final marks, and whether an end follows."""
+    at = np.asarray(numbers, np.int64)
+    h, c = np.array(vocabulary.hashes, np.uint64)[at], np.array(vocabulary.classes, np.uint64)[at]
+    flag = np.array(vocabulary.flags, np.int8)[at]
+    stop = flag > 0
+    before = lambda x, n: np.r_[np.full(min(n, len(x)), LINE, np.uint64), x[: max(0, len(x) - n)]]
     with np.errstate(over="ignore"):
-        one = mix(h + _SEEDS[0] * side)
-        two = mix(shift(h, 1) * _SEEDS[1] + mix(h + side))
-        three = mix(shift(h, 2) * _SEEDS[2] + two)
-        classed = mix(shift(cls, 1) * _SEEDS[3] + mix(cls + side))
-    at = ~stop
-    return np.stack([one[at], two[at], three[at], classed[at]]), ends[at]
-
-
-def _ending(word: str) -> int:
-    return xxhash.xxh3_64_intdigest("$" + word[-3:].lower())
-
-
-class TerminalModel:
-    """Counts in tables of fixed width: how often a context ends, and how often it was seen."""
-
-    def __init__(self, ends: np.ndarray, seen: np.ndarray) -> None:
-        self.ends, self.seen, self.mask = ends, seen, np.uint64(len(seen) - 1)
-
-    def chance(self, text: str, lines_end: bool) -> float:
-        """Estimated chance that the text may end where it does; its own count is taken off."""
-        text = text.rstrip()
-        tokens = TOKEN.findall(text[-200:])
-        if len(text) > 200 and tokens:
-            tokens = tokens[1:]
-        contexts, _ = _contexts(tokens, lines_end)
-        if not contexts.shape[1]:
-            return 1.0
-        one, two, three, classed = ((self.ends[k], self.seen[k]) for k in (contexts[:, -1] & self.mask).astype(np.int64))
-        last = next((t for t in reversed(tokens) if t != "\n"), "")
-        if last and last[0].isalpha() and one[1] <= 3 and not _cjk(last):
-            if not last[0].isupper():
-                return 0.0 if len(tokens) < 2 or tokens[-2] != "#" else 1.0
-            k = np.uint64(_ending(last)) & self.mask
-            if self.seen[int(k)] > 3 and self.ends[int(k)] < 0.4 * self.seen[int(k)]:
-                return 0.0
-        for ends, seen in (three, two, classed, one):
-            if seen > 5:
-                return max(0.0, float(ends - 1) / float(seen - 1))
-        return 0.5 if not lines_end else -1.0
-
-
-def _tally(bits: int, line_categories: frozenset[str]):
+        one = mix(h + np.uint64(side))
+        two = mix(before(c, 1) * np.uint64(3) + mix(c + np.uint64(side + 10)))
+        three = mix(before(c, 2) * np.uint64(5) + two)
+        written = mix(before(h, 1) * np.uint64(7) + one)
+    keep = ~stop
+    return np.stack([three, two, written, one])[:, keep], np.r_[stop[1:], True][keep]
+
+
+def ending_key(word: str) -> int:
+    """Key of a word's last letters: do words end so?"""
+    return xxhash.xxh3_64_intdigest("$" + word[-3:].lower()) ^ ENDING
+
+
+def start_key(word: str) -> int:
+    """Key of a word's start: how many of the words that start so are only that?"""
+    return xxhash.xxh3_64_intdigest("^" + word.lower()) ^ ENDING
+
+
+def last_contexts(text: str, lines: bool, vocabulary: Vocabulary) -> tuple[list[int], str]:
+    """Keys of the contexts at the end of the text, and its last word."""
+    cut = text[-240:]
+    tokens = TOKEN.findall(cut)[1 if len(text) > 240 else 0 :]
+    if not lines:
+        tokens = [t for t in tokens if t != "\n"]
+    while tokens and tokens[-1][0] in FINAL + "\n":
+        tokens.pop()
+    if not tokens:
+        return [], ""
+    found, _ = contexts(vocabulary.numbers(["\n", *tokens]), vocabulary, 2 if lines else 1)
+    last = tokens[-1] if len(tokens) < 2 or tokens[-2] != "#" else ""
+    own = np.array([ending_key(tokens[-1]), start_key(tokens[-1])], np.uint64)
+    return [*found[:, -1].view(np.int64).tolist(), *own.view(np.int64).tolist()], last
+
+
+def may_end(ends: list[int], seen: list[int], last: str, lines: bool, least: float) -> bool:
+    """Whether the counts (by KINDS, its own included once) let the text end there."""
+    if last and last[0].isalpha() and seen[3] <= 3 and not _cjk(last):
+        if not last[0].isupper():
+            return False  # a word that is hardly found elsewhere is a part of one
+        if seen[4] > 3 and ends[4] < 0.4 * seen[4]:
+            return False
+    if last and last[0].isalpha() and ends[3] > 0.4 * seen[3] and ends[5] < 0.05 * seen[5]:
+        return False  # found mostly where texts stop, and nearly always longer elsewhere
+    for e, n in zip(ends[:4], seen[:4]):
+        if n > 8:
+            return (e - 1) / (n - 1) >= least
+    return True
+
+
+def _tally(bits: int, needed, line_categories: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(needed.value, np.uint8)).astype(bool)
         mask = np.uint64((1 << bits) - 1)
-        ends, seen = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        words: set[str] = set()
+        vocabulary, words = Vocabulary(), set()
         for batch in batches:
-            keys, hits = [], []
+            vocabulary = vocabulary.fresh()
+            line = vocabulary.numbers(["\n"])[0]
+            sides: dict[int, list[int]] = {1: [line], 2: [line]}
             for text, category in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or is_code(category):
                     continue
-                tokens = TOKEN.findall(text.rstrip())
-                contexts, e = _contexts(tokens, category in line_categories)
-                keys.append(contexts.ravel())
-                hits.append(np.tile(e, 4))
-                if len(words) < 200_000:
-                    words.update(t for t in tokens if t[0].isupper() and len(t) > 3)
-            if keys:
-                k, e = (np.concatenate(keys) & mask).astype(np.int64), np.concatenate(hits)
-                seen += np.bincount(k, minlength=1 << bits)
-                ends += np.bincount(k[e], minlength=1 << bits)
-        for word in words:  # each distinct word once a partition: where do words end
-            for j in range(3, len(word) + 1):
-                slot = int(np.uint64(_ending(word[:j])) & mask)
-                seen[slot] += 1
-                ends[slot] += j == len(word)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ends[at]), pa.array(seen[at])], ["slot", "ends", "seen"])
+                lines = category in line_categories
+                n = vocabulary.numbers(TOKEN.findall(text.rstrip()))
+                sides[2 if lines else 1] += n if lines else [x for x in n if x != line]
+                sides[2 if lines else 1].append(line)
+            keys, hits = [], []
+            for side, numbers in sides.items():
+                found, e = contexts(numbers, vocabulary, side)
+                for row in found:
+                    want = table[(row & mask).astype(np.int64)]
+                    keys.append(row[want])
+                    hits.append(e[want])
+            tokens, used = list(vocabulary.number), np.bincount(np.concatenate([np.asarray(x, np.int64) for x in sides.values()]), minlength=len(vocabulary.number))
+            starts = [(start_key(w[:j]), j == len(w), n) for w, n in zip(tokens, used.tolist()) if n and w[0].isalpha() for j in range(1, min(len(w), 24) + 1)]
+            fresh = [t for t in vocabulary.number if t[0].isupper() and len(t) > 3 and t not in words]
+            if len(words) < Vocabulary.LIMIT:
+                words.update(fresh)
+            parts = starts + [(ending_key(w[:j]), j == len(w), 1) for w in fresh for j in range(3, len(w) + 1)]
+            k = np.fromiter((x for x, _, _ in parts), np.uint64, len(parts))
+            want = table[(k & mask).astype(np.int64)] if len(k) else np.empty(0, bool)
+            n = np.fromiter((x for _, _, x in parts), np.int64, len(parts))[want]
+            weights = np.concatenate([*(np.ones(len(x), np.int64) for x in keys), n])
+            keys.append(k[want])
+            hits.append(np.fromiter((x for _, x, _ in parts), bool, len(parts))[want])
+            every, which = np.unique(np.concatenate(keys), return_inverse=True)
+            e = np.concatenate(hits) * weights
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.bincount(which, weights=e, minlength=len(every)).astype(np.int64)), pa.array(np.bincount(which, weights=weights, minlength=len(every)).astype(np.int64))], ["key", "ends", "seen"])
 
     return run
 
@@ -357,86 +427,112 @@ def is_code(category: str | None) -> bool:
     return category in ("source_code", "json_schema")
 
 
-def _open_marks(text: str, code: bool) -> bool:
-    """Whether brackets, or in texts quotations, are left open at the end."""
+CODE_MARK = re.compile(r"\"\"\"|\'\'\'|\\.|[\"'()\[\]{}]|#[^\n]*|\n", re.DOTALL)
+
+
+def open_code(text: str) -> bool:
+    """Whether a bracket, brace or string is open at the end."""
+    stack, quote = [], ""
+    for mark in CODE_MARK.findall(text):
+        if quote:
+            if mark == quote:
+                quote = ""
+            elif len(quote) == 1 and len(mark) == 3 and mark[0] == quote:
+                quote = ""  # an empty string and the next quote
+        elif mark[0] in "\"'":
+            quote = mark
+        elif mark in "([{":
+            stack.append(OPEN[mark])
+        elif stack and mark == stack[-1]:
+            stack.pop()
+    return bool(stack or quote)
+
+
+MARK = re.compile(r"[\"“”„«»「」『』()\[\]（）]")
+
+
+def open_text(text: str) -> bool:
+    """Whether a quotation or bracket is open at the end."""
     stack: list[str] = []
-    quote = ""
     plain = False
-    k = 0
-    while k < len(text):
-        ch = text[k]
-        if code:
-            if quote:
-                if ch == "\\":
-                    k += 1
-                elif text.startswith(quote, k):
-                    k += len(quote) - 1
-                    quote = ""
-            elif ch in "\"'":
-                quote = ch * 3 if text.startswith(ch * 3, k) else ch
-                k += len(quote) - 1
-            elif ch in "([{":
-                stack.append(OPEN[ch])
-            elif ch in ")]}" and stack and stack[-1] == ch:
-                stack.pop()
-        elif ch == "\n" and text[k + 1 : k + 2] == "\n":
-            stack, plain = [], False  # a paragraph's marks don't reach into the next
-        elif ch == '"':
+    for ch in MARK.findall(text):
+        if ch == '"':
             plain = not plain
         elif stack and ch in stack[-1]:
             stack.pop()
         elif ch in OPEN:
             stack.append(OPEN[ch])
-        k += 1
-    return bool(stack or quote or plain)
+    return plain or bool(stack)
 
 
-def is_truncated(text: str, category: str | None, model: TerminalModel, line_categories: frozenset[str], least: float = 0.12) -> bool:
-    bare = text.rstrip()
-    if category == "json_schema" or category == "source_code":
-        fenced = bare.strip("`").strip()
-        return _open_marks(fenced, True) or fenced.endswith((":", ",", "=", "+", "\\", "."))
-    shown = "".join(c for c in bare if unicodedata.category(c) != "Cf")
-    lines = category in line_categories
-    if _open_marks(shown.rsplit("\n", 1)[-1] if lines else shown, False):
-        return True
-    core = shown.rstrip(CLOSING + "   ")
-    if core and core[-1] in FINAL:
-        spans = units(core) if core.endswith(".") else []
-        last = core[spans[-1][0] :].rsplit(None, 1)[-1] if spans else ""
-        return last in ("Mr.", "Mrs.", "Dr.", "Prof.", "St.", "e.g.", "i.e.", "approx.", "vs.", "Fig.", "pp.", "z.", "d.", "ca.", "vgl.", "Nr.", "env.", "aprox.", "Sr.", "Sra.") or bool(re.search(r"(?:^|\s)(?:p\.\s*(?:ex|ej)|z\.\s*B|d\.\s*h|т\.\s*е|[A-ZА-Я])\.$", core))
-    chance = model.chance(core if core and core[-1] not in ",;:" else shown, lines)
-    if chance < 0:
-        chance = model.chance(core, False)
-    return chance < least
+WIDTHLESS = re.compile("[\u00ad\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+#: Abbreviations after which no text ends.
+HANGING = frozenset("Mr. Mrs. Ms. Dr. Prof. St. e.g. i.e. approx. vs. Fig. pp. No. z. d. ca. vgl. Nr. env. aprox. Sr. Sra. MM.".split())
 
 
-def defect_of(text: str | None, prompt: str, category: str | None, model: TerminalModel, line_categories: frozenset[str]) -> str | None:
+def judged(text: str | None, prompt: str, category: str | None, line_categories: frozenset[str], vocabulary: Vocabulary) -> tuple[str | None, list[int], str, bool]:
+    """The defect, if it shows without the model of terminal contexts; else keys of contexts to ask it, if the text lacks a mark."""
+    none: tuple[str | None, list[int], str, bool] = (None, [], "", False)
     if is_empty(text):
-        return "empty"
+        return "empty", *none[1:]
     if is_copy(text, prompt):
-        return "copy"
+        return "copy", *none[1:]
     if is_refusal(text):
-        return "refusal"
-    if not is_code(category) and is_other_language(text, prompt):
-        return "other_language"
-    return "truncated" if is_truncated(text, category, model, line_categories) else None
+        return "refusal", *none[1:]
+    if is_code(category):
+        bare = text.strip().strip("`").strip()
+        return "truncated" if open_code(bare) or bare.endswith((":", ",", "=", "+", "\\", "(", ".")) else None, *none[1:]
+    if is_other_language(text, prompt):
+        return "other_language", *none[1:]
+    lines = category in line_categories
+    tail = text.rstrip()[-4000:]
+    shown = (tail if tail.isascii() else WIDTHLESS.sub("", tail)).rstrip()
+    if lines:
+        shown = shown.rsplit("\n", 1)[-1] if len(tail) == len(text.rstrip()) and "\n" not in shown else shown
+    core = shown.rstrip(CLOSING + " \u00a0\u3000")
+    if core and core[-1] in FINAL:
+        return "truncated" if core.rsplit(None, 1)[-1] in HANGING else None, *none[1:]
+    if core[-1:] in (",", ";", "、", "，", "،"):
+        return "truncated", *none[1:]
+    last_part = re.split(r"\n" if lines else r"\n\s*\n|(?<=[.!?…。！？])[\"”»」)]*\s", shown)[-1]
+    if open_text(last_part) and not open_text(last_part[1:] if last_part[:1] in "\"”»」)" else last_part + "x") or open_text(last_part) and not shown.endswith(tuple(CLOSING)):
+        return "truncated", *none[1:]
+    keys, last = last_contexts(core if core and core[-1] not in ",;:" else shown, lines, vocabulary)
+    return None, keys, last, lines
 
 
-def _label(table, line_categories: frozenset[str]):
+def _judge(line_categories: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = TerminalModel(*table.value)
+        vocabulary = Vocabulary()
         for batch in batches:
-            ids, defects = [], []
+            vocabulary = vocabulary.fresh()
+            rows = []
             for key, text, prompt, category in zip(*(c.to_pylist() for c in batch.columns)):
-                if defect := defect_of(text, prompt or "", category, model, line_categories):
-                    ids.append(key)
-                    defects.append(defect)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(defects, pa.string())], ["id", "defect"])
+                defect, keys, last, lines = judged(text, prompt or "", category, line_categories, vocabulary)
+                if defect or keys:
+                    rows.append((key, defect, keys, last, lines))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.bool_())], ["id", "defect", "keys", "last", "lines"])
 
     return run
 
 
+def _broken(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [key for key, last, lines, at, ends, seen in zip(*(c.to_pylist() for c in batch.columns)) if not may_end(*_in_order(at, ends, seen), last, lines, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(["truncated"] * len(ids), pa.string())], ["id", "defect"])
+
+    return run
+
+
+def _in_order(at: list[int], ends: list[int], seen: list[int]) -> tuple[list[int], list[int]]:
+    e, n = [0] * len(KINDS), [0] * len(KINDS)
+    for k, x, y in zip(at, ends, seen):
+        e[k], n[k] = x, y
+    return e, n
+
+
 @dataclass
 class PairDefects:
     """``found`` (id, defect), ``pairs`` (id, text, prompt, category): the pairs that were judged."""
@@ -450,24 +546,30 @@ def prompt_key(column):
     return F.upper(F.regexp_replace(column, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
-def pair_defects(records: DataFrame, prompts: DataFrame, *, id_col: str = "sample_id", text_col: str = "text", prompt_col: str = "prompt_id", prompt_text_col: str = "text", category_col: str = "category", bits: int = 20, line_categories: tuple[str, ...] = ("list",)) -> PairDefects:
+def pair_defects(records: DataFrame, prompts: DataFrame, *, id_col: str = "sample_id", text_col: str = "text", prompt_col: str = "prompt_id", prompt_text_col: str = "text", category_col: str = "category", bits: int = 22, least: float = 0.12, line_categories: tuple[str, ...] = ("list",)) -> PairDefects:
     """Each defective answer with its defect, one at most, the first in the order of ``DEFECTS``.
 
     A record's rows are one pair: a row with a text goes before one without, then the least text holds.
     Records with a null id, or whose prompt isn't among ``prompts``, are not judged; a null text is an empty
     answer. A category ``repeat_of_X`` is that of prompt X. Code and JSON have no language. A prompt id given
-    twice counts with its least text. ``bits`` bounds the two tables of counts (8 bytes an entry each).
+    twice counts with its least text. ``bits`` is the size of the
+    bit table that filters contexts. An unmarked end counts as whole if its context ends in a part of ``least`` or more.
     """
     p = prompts.select(prompt_key(F.col(prompt_col)).alias("pid"), F.col(prompt_text_col).alias("prompt"), F.col(category_col).alias("own")).where("pid is not null").groupBy("pid").agg(F.min(F.struct("prompt", "own")).alias("x")).select("pid", "x.prompt", "x.own")
     base = p.select(F.col("pid").alias("base"), F.col("own").alias("base_own"))
     p = p.withColumn("base", F.when(F.col("own").startswith("repeat_of_"), F.upper(F.substring("own", 11, 100)))).join(base, "base", "left").select("pid", "prompt", F.coalesce("base_own", "own").alias("category"))
     rows = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), prompt_key(F.col(prompt_col)).alias("pid")).where("id is not null")
     rows = rows.groupBy("id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", "pid")).alias("x")).select("id", "x.text", "x.pid")
-    pairs = rows.join(p, "pid").select("id", "text", "prompt", "category")
+    pairs = materialise(rows.join(p, "pid").select("id", "text", "prompt", "category"), "pairs")
     lines = frozenset(line_categories)
-    counted = pairs.select("text", "category").mapInArrow(_tally(bits, lines), "slot int, ends long, seen long").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).toArrow()
-    ends, seen = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    ends[counted["slot"].to_numpy()] = counted["ends"].to_numpy()
-    seen[counted["slot"].to_numpy()] = counted["seen"].to_numpy()
-    table = records.sparkSession.sparkContext.broadcast((ends, seen))
-    return PairDefects(pairs.mapInArrow(_label(table, lines), "id string, defect string"), pairs)
+    first = materialise(pairs.mapInArrow(_judge(lines), "id string, defect string, keys array<long>, last string, lines boolean"), "judged")
+    open_ends = first.where("defect is null")
+    asked = open_ends.select("id", "last", "lines", F.posexplode("keys").alias("kind", "key"))
+    slots = asked.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    table = np.zeros(1 << bits, bool)
+    table[slots] = True
+    needed = records.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
+    counts = pairs.select("text", "category").mapInArrow(_tally(bits, needed, lines), "key long, ends long, seen long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
+    answered = asked.join(counts, "key").groupBy("id").agg(F.first("last").alias("last"), F.first("lines").alias("lines"), F.collect_list("kind").alias("kinds"), F.collect_list("ends").alias("ends"), F.collect_list("seen").alias("seen"))
+    broken = answered.select("id", "last", "lines", "kinds", "ends", "seen").mapInArrow(_broken(least), "id string, defect string")
+    return PairDefects(first.where("defect is not null").select("id", "defect").unionByName(broken), pairs)
