@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.encode import encode_texts
 from glyphmill.llm.lookalike import hidden_pairs, uniform_texts
+from glyphmill.llm.mixing import Mix, mix_sources
 from glyphmill.llm.neardup import near_duplicates
 from glyphmill.llm.pairs import pair_defects
 from glyphmill.llm.sentences import sentence_units
@@ -60,6 +61,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(read_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _p7(spark: SparkSession, folder: str) -> Mix:
+    return mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _p7(spark, folder).chosen.select("mix_id", F.col("id").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _p7(spark, folder).shares()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_pairs(read_table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
@@ -69,7 +82,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
