@@ -168,11 +168,16 @@ def novelty(answer: str, prompt: str) -> tuple[int, float]:
     return len(compressor.compress(data)) - len(compressor.compress(whole)), len(data) / max(1, len(whole))
 
 
-def is_copy(answer: str, prompt: str, most_new: int = 20, least_part: float = 0.6) -> bool:
+#: Labels before a prompt that is given back.
+LABEL = re.compile(r"\s*[>\"'“«„*_#]*\s*(?:the |your |user |original )?(?:prompt|question|q|request|instructions?|task|you asked|you wrote|frage|aufgabe|demande|consigne|pregunta|вопрос|задание|質問|问题)\s*[:：]\s*", re.IGNORECASE)
+
+
+def is_copy(answer: str, prompt: str, most_new: int = 20, new_part: float = 0.3, least_part: float = 0.6) -> bool:
+    """The answer adds at most ``most_new`` bytes to the prompt, and ``new_part`` of its length."""
     if len(answer) > 2 * len(prompt) + 120:
         return False
-    new, part = novelty(answer, prompt)
-    return new <= most_new and least_part <= part <= 1.6
+    new, part = novelty(LABEL.sub("", answer, count=1) if LABEL.match(answer) else answer, prompt)
+    return new <= min(most_new, max(6, new_part * len(prompt.encode()))) and least_part <= part <= 1.6
 
 
 def is_refusal(text: str) -> bool:
