@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.storage import materialise
+
 # Letters that look like a Latin one, as "letter Latin" pairs.
 CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ҺH ԚQ ԜW ҮY"
 GREEK = "οo νv αa ιi κk ρp υu χx ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϲc ͿJ"
@@ -210,8 +212,8 @@ def hidden_pairs(df: DataFrame, id_col: str, text_col: str, *, least_visible: in
     """
     forms = uniform_texts(df, id_col, text_col).toDF("id", "text", "form").where("id is not null and form is not null")
     seen = forms.where(F.length(F.regexp_replace("form", r"\s", "")) >= least_visible)
-    keys = seen.select("id", F.unhex(F.md5("text")).alias("stored"), F.unhex(F.md5("form")).alias("form")).distinct()
+    keys = materialise(seen.select("id", F.unhex(F.md5("text")).alias("stored"), F.unhex(F.md5("form")).alias("form")), "forms")
     several = keys.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
-    rows = keys.join(several, "form", "left_semi")
+    rows = keys.join(several, "form", "left_semi").distinct()
     a, b = (rows.select("form", F.col("id").alias(f"id_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")
     return a.join(b, "form").where("id_a < id_b and stored_a <> stored_b").select("id_a", "id_b").distinct()
