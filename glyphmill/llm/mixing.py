@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.encode import DEFAULT, count_tokens
 from glyphmill.storage import materialise
 
+#: Targets up to this number are sent to all executors.
+MOST_SENT = 100_000
 #: Bins of a level. Two levels leave about one in 2^24 of a source's documents to be ranked one by one.
 BINS = 4096
 
@@ -65,7 +67,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), weight.alias("weight")).where("id is not null and source is not null and text is not null and weight > 0")
     wanted = targets.groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).where("mix_id is not null and source is not null")
-    rows = rows.join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi") if wanted.count() <= 100_000 else rows.join(wanted.select("source").distinct(), "source", "left_semi")
+    small = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df  # beyond that, plain joins
+    rows = rows.join(small(wanted.select("source").distinct()), "source", "left_semi")
     rows = rows.groupBy("id").agg(F.min(F.struct("source", "text", "weight")).alias("x")).select("id", "x.*")
     kind = rows.select("id").schema[0].dataType.simpleString()
     packed = rows.select(F.struct("id", "source", "weight").alias("id"), "text")
@@ -84,7 +87,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     plan = materialise(plan.select("mix_id", "source", "target_share", "max_repeats", "available", "mean_weight", "share", "budget", "in_reach", "copies_due"), "plan")
 
     # A document's copies: its due ones, at most max_repeats. Whole ones are certain, the part beyond is a chance.
-    docs = sized.join(plan.where("budget > 0").select("mix_id", "source", "max_repeats", "copies_due", "mean_weight"), "source")
+    docs = sized.join(small(plan.where("budget > 0").select("mix_id", "source", "max_repeats", "copies_due", "mean_weight")), "source")
     own = F.least(F.col("copies_due") * F.col("weight") / F.col("mean_weight"), F.col("max_repeats").cast("double"))
     docs = docs.withColumn("own", own).withColumn("whole", F.floor(F.col("own") + 1e-9).cast("int")).withColumn("chance", F.greatest(F.lit(0.0), F.col("own") - F.col("whole")))
     u = (F.pmod(F.xxhash64(F.lit(seed), "mix_id", "id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
@@ -98,9 +101,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     first, fine = F.floor(F.col("rank") * BINS).cast("int"), F.floor(F.col("rank") * BINS * BINS).cast("long")
     ranked = docs.where("rank is not null")
     one = _cut(ranked, first, left)
-    inside = ranked.join(one.select(*keys, F.col("cut").alias("one")), keys).where(first == F.col("one"))
+    inside = ranked.join(small(one.select(*keys, F.col("cut").alias("one"))), keys).where(first == F.col("one"))
     two = _cut(inside, fine, one.select(*keys, "rest"))
-    last = inside.join(two.select(*keys, F.col("cut").alias("two"), "rest"), keys).where(fine == F.col("two"))
+    last = inside.join(small(two.select(*keys, F.col("cut").alias("two"), "rest")), keys).where(fine == F.col("two"))
     order = Window.partitionBy(*keys).orderBy("rank", "id")
     until = F.sum("tokens").over(order)
     edge = last.withColumn("before", until - F.col("tokens")).where("before < rest and rest - before >= tokens - (rest - before)").select(*keys, "id", F.lit(1).alias("edge"))
@@ -108,5 +111,5 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     below = (first < F.col("one")) | (first == F.col("one")) & (fine < F.col("two"))
     rest = left.select(*keys, F.lit(1).alias("some"))
     extra = F.when(F.col("rank").isNull() | F.col("some").isNull(), 0).when(F.col("one").isNull() | below | F.col("edge").isNotNull(), 1).otherwise(0)
-    chosen = docs.join(rest, keys, "left").join(cuts, keys, "left").join(edge, [*keys, "id"], "left").withColumn("copies", F.col("whole") + extra).where("copies > 0").select("mix_id", "source", F.col("id").cast(kind).alias("id"), "tokens", "copies")
+    chosen = docs.join(small(rest), keys, "left").join(small(cuts), keys, "left").join(edge, [*keys, "id"], "left").withColumn("copies", F.col("whole") + extra).where("copies > 0").select("mix_id", "source", F.col("id").cast(kind).alias("id"), "tokens", "copies")
     return Mix(chosen, plan)
