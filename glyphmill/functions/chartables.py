@@ -13,6 +13,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.storage import materialise
+
 
 def _points(spec: str) -> frozenset[int]:
     """Code points of "200B 202A-202E ..."."""
@@ -150,7 +152,7 @@ def characters(spark: SparkSession) -> DataFrame:
     """
     app = spark.sparkContext.applicationId
     if app not in _frames:
-        _frames[app] = spark.createDataFrame(_rows(), SCHEMA)
+        _frames[app] = materialise(spark.createDataFrame(_rows(), SCHEMA).coalesce(1), "characters")
     return _frames[app]
 
 
