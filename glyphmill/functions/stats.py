@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z = 1.959963984540054
 
@@ -45,7 +46,7 @@ def two_proportion_z(c1: Column, n1: Column, c2: Column, n2: Column) -> Column:
     return F.when((n1 == 0) | (n2 == 0), None).otherwise(F.when(se == 0, 0.0).otherwise(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a z value."""
     return z.map(lambda x: None if x is None or math.isnan(x) else 2 * (1 - 0.5 * (1 + math.erf(abs(x) / math.sqrt(2)))))

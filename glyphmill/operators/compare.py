@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from glyphmill.functions import text as T
 from glyphmill.functions.chartables import BIDI, INVISIBLE, TAGS, VARIATION, plain_forms
@@ -79,10 +81,12 @@ def char_differences(a: str, b: str):
         yield n, op, i, j, k, m, points(a[i:j]), points(b[k:m]), shown(a[i : min(j, i + MAX_CHARS)]), shown(b[k : min(m, k + MAX_CHARS)]), shown(a[max(0, i - RADIUS) : j + RADIUS]), shown(b[max(0, k - RADIUS) : m + RADIUS]), kind
 
 
-_RANGES = "n int, op string, a_start int, a_end int, b_start int, b_end int"
+def _schema(*names: str) -> StructType:
+    kinds = {"n": IntegerType(), "a_start": IntegerType(), "a_end": IntegerType(), "b_start": IntegerType(), "b_end": IntegerType(), "a_codepoints": ArrayType(StringType()), "b_codepoints": ArrayType(StringType())}
+    return StructType([StructField(x, kinds.get(x, StringType())) for x in ("n", "op", "a_start", "a_end", "b_start", "b_end", *names)])
 
 
-@udtf(returnType=f"{_RANGES}, a_hex string, b_hex string, a_decoded string, b_decoded string, a_context string, b_context string")
+@udtf(returnType=_schema("a_hex", "b_hex", "a_decoded", "b_decoded", "a_context", "b_context"))
 class ByteDiff:
     """Table function: the differing stretches of two byte strings."""
 
@@ -91,7 +95,7 @@ class ByteDiff:
             yield from byte_differences(bytes(a), bytes(b))
 
 
-@udtf(returnType=f"{_RANGES}, a_codepoints array<string>, b_codepoints array<string>, a_escaped string, b_escaped string, a_context string, b_context string, classification string")
+@udtf(returnType=_schema("a_codepoints", "b_codepoints", "a_escaped", "b_escaped", "a_context", "b_context", "classification"))
 class CharDiff:
     """Table function: the differing stretches of two texts, each with its kind."""
 
@@ -122,11 +126,9 @@ def comparison(pairs: DataFrame) -> DataFrame:
     return out.select("id", "sha256_a", "sha256_b", "bytes_a", "bytes_b", (F.col("sha256_a") == F.col("sha256_b")).alias("byte_identical"), F.coalesce("classifications", F.array().cast("array<string>")).alias("classifications"), F.coalesce("char_diffs", F.lit(0)).alias("char_diffs"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a, b):
     """difflib's ratio of two texts; quadratic, for texts of a few thousand characters."""
-    import pandas as pd
-
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
 
 

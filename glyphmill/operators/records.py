@@ -61,8 +61,8 @@ def with_prompts(records: DataFrame, prompts: DataFrame, how: str = "left") -> D
     return records.join(dim, clean_id(F.col("prompt_id")) == F.col("_p"), how).drop("_p")
 
 
-def with_provenance(records: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Control records with class, source and description, joined by path; defaults where there is no entry."""
-    dim = provenance.select(F.col("path").alias("_path"), F.col("class").alias("control_class"), F.col("source").alias("control_source"), F.col("description").alias("control_description"))
-    rows = records.join(dim, F.col("path") == F.col("_path"), "left").drop("_path")
+def with_provenance(records: DataFrame, provenance: DataFrame, by: str = "path") -> DataFrame:
+    """Control records with class, source and description, joined by path or control_id; defaults where there is no entry."""
+    dim = provenance.select(F.col(by).alias("_by"), F.col("class").alias("control_class"), F.col("source").alias("control_source"), F.col("description").alias("control_description"))
+    rows = records.join(dim, F.col(by) == F.col("_by"), "left").drop("_by")
     return rows.withColumn("control_class", F.coalesce("control_class", F.lit("unknown"))).withColumn("control_source", F.coalesce("control_source", F.lit(""))).withColumn("control_description", F.coalesce("control_description", F.lit("")))

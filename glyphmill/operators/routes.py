@@ -8,11 +8,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from glyphmill.functions import text as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def json_escaped_route(content: pd.Series) -> pd.Series:
     r"""Through JSON with \u escapes and back; null if it isn't UTF-8."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from glyphmill.functions import text as T
 from glyphmill.functions.chartables import BUCKETS, HIDDEN_RATE_BUCKETS, HOMOGLYPHS, RATE_BUCKETS, SUSPICIOUS, characters, flagged_characters
@@ -142,9 +144,7 @@ def ascii_violations(docs: DataFrame, group: Column, text_col: str) -> DataFrame
     return rows.groupBy("grp", "ch").agg(F.count(F.lit(1)).alias("n")).select("grp", T.label(F.ascii("ch")).alias("codepoint"), "n")
 
 
-def _forms(text: str | None, content: bytes | None) -> dict:
-    import hashlib
-
+def _forms(text: str) -> dict:
     out = {}
     for form in ("NFC", "NFD", "NFKC", "NFKD"):
         norm = text if text.isascii() else unicodedata.normalize(form, text)
@@ -153,13 +153,14 @@ def _forms(text: str | None, content: bytes | None) -> dict:
     return out | {"mixed": not out["nfc_is"] and not out["nfd_is"]}
 
 
-FORMS_SCHEMA = "struct<" + ",".join(f"{f}_is:boolean,{f}_chars:int,{f}_bytes:int,{f}_sha256:string" for f in ("nfc", "nfd", "nfkc", "nfkd")) + ",mixed:boolean>"
+FORMS = StructType([*(StructField(f"{f}_{k}", t) for f in ("nfc", "nfd", "nfkc", "nfkd") for k, t in (("is", BooleanType()), ("chars", IntegerType()), ("bytes", IntegerType()), ("sha256", StringType()))), StructField("mixed", BooleanType())])
+ERROR = StructType([StructField("byte_offset", IntegerType()), StructField("reason", StringType()), StructField("bad_bytes_hex", StringType())])
 
 
-@F.pandas_udf(FORMS_SCHEMA)
+@F.pandas_udf(FORMS)
 def normal_forms(text: pd.Series) -> pd.DataFrame:
     """Whether a text is in each of the four normal forms, and its size and hash in each; mixed if neither composed nor decomposed."""
-    return pd.DataFrame([_forms(t if t is not None else "", None) for t in text], columns=[c.split(":")[0] for c in FORMS_SCHEMA[7:-1].split(",")])
+    return pd.DataFrame([_forms(t if t is not None else "") for t in text], columns=FORMS.names)
 
 
 def decode_error(content: bytes | None) -> tuple[int | None, str | None, str | None]:
@@ -170,7 +171,7 @@ def decode_error(content: bytes | None) -> tuple[int | None, str | None, str | N
     return None, None, None
 
 
-@F.pandas_udf("struct<byte_offset:int,reason:string,bad_bytes_hex:string>")
+@F.pandas_udf(ERROR)
 def decode_errors(content: pd.Series) -> pd.DataFrame:
     """Place, reason and bytes of the first decoding error; meant for rows that is_valid_utf8 has turned down."""
     return pd.DataFrame([decode_error(c) for c in content], columns=["byte_offset", "reason", "bad_bytes_hex"])
@@ -181,7 +182,7 @@ def decoded(docs: DataFrame, content_col: str) -> DataFrame:
     raw = F.col(content_col).cast("string")
     valid = F.is_valid_utf8(raw)
     rows = docs.withColumn("utf8_valid", valid).withColumn("text", F.make_valid_utf8(raw))
-    good = rows.where("utf8_valid or utf8_valid is null").withColumn("decode_error", F.lit(None).cast("struct<byte_offset:int,reason:string,bad_bytes_hex:string>"))
+    good = rows.where("utf8_valid or utf8_valid is null").withColumn("decode_error", F.lit(None).cast(ERROR))
     return good.unionByName(rows.where("not utf8_valid").withColumn("decode_error", decode_errors(F.col(content_col))))
 
 
@@ -195,7 +196,12 @@ def reports(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
     full = found.join(around, ["id", "ch"], "left")
     entry = F.struct("cp", F.col("label").alias("codepoint"), "name", "category", "utf8_hex", F.col("n").alias("count"), "positions", "positions_capped", "bucket", "ascii_equiv", F.col("ascii_equiv").isNotNull().alias("differs_from_ascii"), "contexts", F.col("places").alias("mixed_script_word_positions"), F.col("mixed").alias("mixed_script_word_occurrences"))
     per_doc = full.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    buckets = F.map_from_arrays(F.array(*map(F.lit, BUCKETS)), F.array(*(F.filter(F.coalesce("found", F.array().cast(per_doc.schema["found"].dataType)), lambda e, b=b: e["bucket"] == b) for b in BUCKETS)))
+    every = F.coalesce("found", F.array().cast(per_doc.schema["found"].dataType))
+
+    def of(bucket: str) -> Column:
+        return F.filter(every, lambda e: e["bucket"] == bucket)
+
+    buckets = F.map_from_arrays(F.array(*map(F.lit, BUCKETS)), F.array(*map(of, BUCKETS)))
     flags = document_flags(rows, "id", "text")
     out = rows.join(per_doc, "id", "left").join(flags, "id", "left")
     notes = F.array_compact(F.array(F.when(~F.col("utf8_valid"), "FILE IS NOT VALID UTF-8"), F.when(F.startswith("text", F.lit("﻿")), "Leading U+FEFF byte-order mark present."), F.when(F.col("has_tag_characters"), "UNICODE TAG CHARACTERS PRESENT")))

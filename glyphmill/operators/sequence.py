@@ -53,7 +53,7 @@ def word_lag_correlation(docs: DataFrame, group: Column, order_col: str, lags: t
 
 
 def marker_gaps(docs: DataFrame, group: Column, order_col: str, marks: str, text_col: str = "text") -> DataFrame:
-    """(grp, at, gap): distances between neighbouring marks of a group's joined texts; the place is that of the later mark.
+    """(grp, place, gap): distances between neighbouring marks of a group's joined texts; the place is that of the later mark.
 
     Inside a document gaps come from its own places; at a seam the first mark meets the last one before it.
     """
@@ -67,7 +67,7 @@ def marker_gaps(docs: DataFrame, group: Column, order_col: str, marks: str, text
     both = F.when(F.col("_last").isNull(), here).otherwise(F.concat(F.array("_last"), here))
     pairs = joined.select("grp", both.alias("p")).where(F.size("p") > 1)
     each = pairs.select("grp", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("g"))
-    return each.select("grp", F.col("g.b").alias("at"), (F.col("g.b") - F.col("g.a")).alias("gap"))
+    return each.select("grp", F.col("g.b").alias("place"), (F.col("g.b") - F.col("g.a")).alias("gap"))
 
 
 def gap_chi2(gaps: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
