@@ -134,8 +134,6 @@ def json_route(content: Column) -> Column:
 
 
 def marker_places(text: Column, marks: str) -> Column:
-    """Places (from 0) of the characters ``marks``, from the lengths of the pieces between them."""
-    pieces = F.split(text, "[" + "".join("\\" + c for c in marks) + "]")
-    steps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + 1)
-    add = lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + n))
-    return F.aggregate(steps, F.array().cast("array<int>"), add)
+    """Places (from 0) of the characters ``marks``."""
+    places = F.transform(characters(text), lambda c, k: F.when(c.isin(*marks), k))
+    return F.filter(places, lambda k: k.isNotNull())

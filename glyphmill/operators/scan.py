@@ -6,7 +6,7 @@ import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -60,10 +60,10 @@ def mixed_script(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     letters = "[" + "".join(HOMOGLYPHS) + "]"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(letters))
-    run = r"[\p{L}\p{M}]+"
-    pieces = rows.select("id", F.regexp_extract_all("text", F.lit(rf"{run}|[^\p{{L}}\p{{M}}]+"), F.lit(0)).alias("pieces"))
-    ends = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    words = pieces.select("id", F.posexplode("pieces").alias("k", "word"), ends.alias("ends")).where(F.col("word").rlike(letters)).select("id", "word", F.try_element_at("ends", F.col("k") + 1).alias("start"))
+    pieces = rows.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))).alias("k", "word"))
+    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.select("id", "word", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).alias("start"))
+    words = placed.where(F.col("word").rlike(letters) & F.col("word").rlike(r"[^\p{IsCyrillic}\p{IsGreek}\p{M}]"))
     # Latin letters are told by name, as a table of the few letters that occur beside look-alike ones
     exploded = words.select("id", "start", F.posexplode(T.characters(F.col("word"))).alias("k", "ch"))
     latin = characters(docs.sparkSession).where("is_latin").select(F.col("ch").alias("_latin"))

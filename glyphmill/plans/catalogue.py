@@ -20,9 +20,23 @@ from glyphmill.storage import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-LANG, SOURCE = F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none"))
-CONTROL = F.col("source") == "human_control"
-PROSE = F.col("prompt_category").isNull() | ~F.col("prompt_category").isin(*lexical.NOT_PROSE)
+
+def _lang():
+    return F.coalesce("lang", F.lit("none"))
+
+
+def _source():
+    return F.coalesce("source", F.lit("none"))
+
+
+def _control():
+    return F.col("source") == "human_control"
+
+
+def _prose():
+    return F.col("prompt_category").isNull() | ~F.col("prompt_category").isin(*lexical.NOT_PROSE)
+
+
 PROSE_SQL = f"(prompt_category is null or prompt_category not in ({', '.join(map(D.q, lexical.NOT_PROSE))}))"
 ODD = r"[^\x20-\x7E\t\n\r]"
 HIDDEN = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200D}\x{2060}-\x{2064}\x{FEFF}]"
@@ -58,7 +72,7 @@ rates as (select grp, category, coalesce(n, 0)::bigint as n, total_chars from gr
 
 @query(f"{_RATES} select grp, category, n, total_chars, round(1000.0 * n / nullif(total_chars, 0), 6) as per_1k, round(1000 * {D.wilson_upper('n', 'total_chars')}, 6) as wilson_upper_per_1k from rates")
 def bucket_rates(spark, folder):
-    return scan.group_rates(docs(spark, folder), LANG, "text")
+    return scan.group_rates(docs(spark, folder), _lang(), "text")
 
 
 @query(f"{_RATES}, one as (select sum(n)::bigint as hidden, (select sum(total_chars) from totals)::bigint as total_chars from rates where category in ({', '.join(map(D.q, HIDDEN_RATE_BUCKETS))})) select hidden, total_chars, round(1000.0 * hidden / total_chars, 8) as observed_rate_per_1k, round(1000 * {D.wilson_upper('hidden', 'total_chars')}, 8) as wilson_upper_per_1k_chars from one")
@@ -129,7 +143,7 @@ def escaped_texts(spark, folder):
 _TAGGED = "text || chr(917505) || array_to_string(list_transform(regexp_extract_all(doc_id::varchar, '.'), lambda c: chr(917504 + unicode(c))), '') || chr(917631)"
 
 
-@query("select doc_id, '[TAG-LANG]' || doc_id || '[TAG-END]' as payload from documents where text is not null")
+@query("select doc_id, '[TAG-_lang()]' || doc_id || '[TAG-END]' as payload from documents where text is not null")
 def tag_payloads(spark, folder):
     tag = F.array_join(F.transform(F.split(F.col("doc_id").cast("string"), ""), lambda c: F.element_at(F.create_map(*(x for k in range(10) for x in (F.lit(str(k)), F.lit(chr(0xE0030 + k))))), c)), "")
     tagged = docs(spark, folder).where("text is not null").withColumn("text", F.concat("text", F.lit("\U000e0001"), tag, F.lit("\U000e007f")))
@@ -167,7 +181,7 @@ _BASE = "base as (select doc_id as doc, coalesce(lang, 'none') as grp, text, pro
 
 @query(f"with {_BASE} select grp, count(*) as files, sum(length(text))::bigint as chars, sum(len({D.words('text')}))::bigint as words, sum({PROSE_SQL}::int)::bigint as prose_files, coalesce(sum(case when {PROSE_SQL} then length(text) end), 0)::bigint as prose_chars, coalesce(sum(case when {PROSE_SQL} then len({D.sentences('text')}) end), 0)::bigint as prose_sentences from base group by 1")
 def sample_sizes(spark, folder):
-    return lexical.sample_sizes(docs(spark, folder), LANG, PROSE)
+    return lexical.sample_sizes(docs(spark, folder), _lang(), _prose())
 
 
 _WORDS = f"each as (select grp, doc, lower(unnest({D.words('text')})) as word, generate_subscripts({D.words('text')}, 1) as k, unnest({D.words('text')}) as w from base where len({D.words('text')}) > 0)"
@@ -175,7 +189,7 @@ _WORDS = f"each as (select grp, doc, lower(unnest({D.words('text')})) as word, g
 
 @query(f"with {_BASE}, {_WORDS}, c as (select grp, word, count(*) as n, min((doc, k)) as first from each group by 1, 2), t as (select grp, sum(n)::bigint as total_words, count(*) as vocab_size from c group by 1), r as (select *, row_number() over (partition by grp order by n desc, first) as place from c) select grp, place, word, n, total_words, vocab_size, round(n / total_words * 1000, 6) as rate_per_1000 from r join t using (grp) where place <= 25")
 def top_words(spark, folder):
-    return lexical.top_words(docs(spark, folder), LANG, "doc_id")
+    return lexical.top_words(docs(spark, folder), _lang(), "doc_id")
 
 
 def _distinctive_sql(grams: str, least: int) -> str:
@@ -190,12 +204,12 @@ def _ngram_queries() -> None:
     for n in (1, 2, 3):
         gram = " || ' ' || ".join(["word", *(f"lead(word, {k}) over w" for k in range(1, n))])
         sql = f"with {_BASE}, {_WORDS}, seq as (select grp, word, row_number() over (partition by grp order by doc, k) as idx from each), all_ as (select grp, idx, {gram} as gram from seq window w as (partition by grp order by idx)), grams as (select * from all_ where gram is not null)"
-        query(_distinctive_sql(sql, 3 if n <= 2 else 2), f"word_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_words(docs(spark, folder), LANG, "doc_id", n))
+        query(_distinctive_sql(sql, 3 if n <= 2 else 2), f"word_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_words(docs(spark, folder), _lang(), "doc_id", n))
     for n in (1, 2, 3, 4):
         joined = f"joined as (select grp, regexp_replace({D.strip('lower(string_agg(text, chr(0) order by doc))').replace('chr(0)', D.q(''))}, {D.q(T.SPACE + '+')}, ' ', 'g') as t from base group by 1)"
         gram = " || ".join(["ch", *(f"lead(ch, {k}) over w" for k in range(1, n))])
         sql = f"with {_BASE}, {joined}, seq as (select grp, unnest({D.chars('t')}) as ch, generate_subscripts({D.chars('t')}, 1) as idx from joined where t <> ''), all_ as (select grp, idx, {gram} as gram from seq window w as (partition by grp order by idx)), grams as (select * from all_ where gram is not null)"
-        query(_distinctive_sql(sql, 5), f"char_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_characters(docs(spark, folder), LANG, "doc_id", n))
+        query(_distinctive_sql(sql, 5), f"char_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_characters(docs(spark, folder), _lang(), "doc_id", n))
 
 
 _ngram_queries()
@@ -204,12 +218,12 @@ _PUNCT = f"counted as ({D.punctuation_union("select {keys}, '{{name}}' as catego
 
 @query(f"with {_BASE}, {_PUNCT} select grp, category, n, chars, {D.rates('n', 'chars')} from counted")
 def punct_rates(spark, folder):
-    return lexical.punctuation_rates(docs(spark, folder), {"grp": LANG})
+    return lexical.punctuation_rates(docs(spark, folder), {"grp": _lang()})
 
 
 @query(f"with {_BASE}, {_PUNCT.replace('select grp,', "select grp, coalesce(prompt_category, 'none') as prompt_category,")} select grp, prompt_category, category, n, chars, {D.rates('n', 'chars')} from counted")
 def punct_by_category(spark, folder):
-    return lexical.punctuation_rates(docs(spark, folder), {"grp": LANG, "prompt_category": F.coalesce("prompt_category", F.lit("none"))})
+    return lexical.punctuation_rates(docs(spark, folder), {"grp": _lang(), "prompt_category": F.coalesce("prompt_category", F.lit("none"))})
 
 
 _BY_SOURCE = "base as (select doc_id as doc, coalesce(source, 'none') as grp, text, prompt_category from documents where text is not null)"
@@ -218,7 +232,7 @@ _Z = "case when chars = 0 or control_chars = 0 then null when {se} = 0 then 0.0
 
 @query(f"with {_BY_SOURCE}, {_PUNCT}, h as (select category, n as control_n, chars as control_chars from counted where grp = 'human_control') select grp, category, n, chars, control_n, control_chars, round({_Z}, 6) as z from counted join h using (category) where grp <> 'human_control' and category in ('comma', 'period', 'curly_quote', 'em_dash', 'semicolon')")
 def punct_z(spark, folder):
-    return lexical.punctuation_z(docs(spark, folder), SOURCE, CONTROL)
+    return lexical.punctuation_z(docs(spark, folder), _source(), _control())
 
 
 @query()
@@ -228,7 +242,7 @@ def punct_p(spark, folder):
 
 @query(f"with {_BASE}, s as (select grp, unnest({D.sentences('text')}) as s from base where {PROSE_SQL}), l as (select grp, len({D.words('s')}) as x from s) select grp, {D.describe('x')} from l group by 1")
 def sentence_stats(spark, folder):
-    return lexical.sentence_statistics(docs(spark, folder).where(PROSE), LANG, "doc_id")
+    return lexical.sentence_statistics(docs(spark, folder).where(_prose()), _lang(), "doc_id")
 
 
 _EDGES = [0, 5, 10, 20, 40, 1000]
@@ -237,23 +251,23 @@ _BIN_SQL = "case " + " ".join(f"when x >= {a} and x {'<=' if k == len(_EDGES) -
 
 @query(f"with {_BASE}, s as (select grp, unnest({D.sentences('text')}) as s from base), l as (select grp, len({D.words('s')}) as x from s) select grp, {_BIN_SQL} as bin, count(*) as n from l group by 1, 2")
 def sentence_histogram(spark, folder):
-    x = lexical.sentence_lengths(docs(spark, folder), LANG, "doc_id")
+    x = lexical.sentence_lengths(docs(spark, folder), _lang(), "doc_id")
     return x.groupBy("grp", S.histogram_bin(F.col("words"), _EDGES).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_BASE}, c as (select grp, unnest({D.chars('text')}) as ch from base), n as (select grp, ch, count(*) as n from c group by 1, 2), b as (select grp, sum(n)::bigint as chars, sum(n * log2(n)) as s from n group by 1), g as (select distinct grp from base) select grp, coalesce(chars, 0) as chars, round(coalesce(log2(chars) - s / chars, 0.0), 6) as bits_per_char from g left join b using (grp)")
 def entropy(spark, folder):
-    return lexical.entropy(docs(spark, folder), LANG)
+    return lexical.entropy(docs(spark, folder), _lang())
 
 
 @query(f"with {_BASE}, {_WORDS} select grp, count(*) as n_words, count(distinct word) as vocab_size, round(avg(length(w)), 6) as mean_word_length, round(count(distinct word) / count(*), 6) as ttr from each group by 1")
 def vocabulary(spark, folder):
-    return lexical.vocabulary(docs(spark, folder), LANG)
+    return lexical.vocabulary(docs(spark, folder), _lang())
 
 
 @query(f"with {_BY_SOURCE}, {_WORDS}, p as (select grp, word, row_number() over (partition by grp order by doc, k) as idx from each), m as (select min(n) as n from (select count(*) as n from each where grp <> 'human_control' group by grp)) select grp, count(*) as n_words_used, count(distinct word) as vocab_size, round(count(distinct word) / count(*), 6) as ttr from p where idx <= (select n from m) group by 1")
 def vocabulary_matched(spark, folder):
-    return lexical.matched_vocabulary(docs(spark, folder), SOURCE, "doc_id", ~F.coalesce(CONTROL, F.lit(False)))
+    return lexical.matched_vocabulary(docs(spark, folder), _source(), "doc_id", ~F.coalesce(_control(), F.lit(False)))
 
 
 _TERMS = ("audit", "ledger", "copy", "record", *lexical.MARKER_TERMS)
@@ -261,7 +275,7 @@ _TERMS = ("audit", "ledger", "copy", "record", *lexical.MARKER_TERMS)
 
 @query(f"with {_BASE}, {_WORDS}, t as (select grp, count(*) as words from each group by 1), f as (select grp, word as term, count(*) as n from each where word in ({', '.join(map(D.q, _TERMS))}) group by 1, 2), f2 as (select * from f union all select grp, 'COMBINED', sum(n)::bigint from f group by 1), g as (select grp, words, unnest([{', '.join(map(D.q, [*_TERMS, 'COMBINED']))}]) as term from t), r as (select grp, term, coalesce(n, 0)::bigint as n, words from g left join f2 using (grp, term)) select grp, term, n, words, {D.rates('n', 'words')} from r")
 def marker_terms(spark, folder):
-    return lexical.marker_rates(docs(spark, folder), LANG, _TERMS)
+    return lexical.marker_rates(docs(spark, folder), _lang(), _TERMS)
 
 
 @query(f"with p as (select prompt_id as prompt, coalesce(model_id, 'none') as grp, avg(len({D.words('text')})) as n from documents where text is not null and prompt_id is not null and not starts_with(coalesce(prompt_category, ''), 'repeat_of') group by 1, 2) select prompt, count(*) as groups, round(avg(n), 6) as mean, round(stddev_pop(n), 6) as sd from p group by 1")
@@ -280,7 +294,7 @@ _TYPO = D.count_of("text", "".join(chr(c) for c in [*range(0x2010, 0x2016), *ran
 
 @query(f"with {_BY_SOURCE}, s as (select grp, 'all' as scope, text from base union all select grp, 'dialogue_only', text from base where prompt_category = 'quoted_speech') select grp, scope, count(*) as files, sum(length(text))::bigint as chars, sum({_TYPO})::bigint as typographic, round(1000.0 * sum({_TYPO}) / nullif(sum(length(text)), 0), 4) as per_1k from s group by 1, 2")
 def typography_by_genre(spark, folder):
-    return lexical.typography(docs(spark, folder), SOURCE, F.col("prompt_category") == "quoted_speech")
+    return lexical.typography(docs(spark, folder), _source(), F.col("prompt_category") == "quoted_speech")
 
 
 # --- ordered sequences ----------------------------------------------------------------------------------
@@ -295,7 +309,7 @@ def autocorr_sentences(spark, folder):
 
 @query(f"with {_BASE}, {_WORDS}, p as (select grp, length(w)::double as x, row_number() over (partition by grp order by doc, k) - 1 as idx from each), c as (select * from p where idx < {sequence.MAX_WORDS}), n as (select grp, count(*) as n from c group by 1), l as (select c.grp, n, lag, c.x as a, d.x as b from c join n using (grp), (select unnest([{_LAGS}]) as lag) g, c d where d.grp = c.grp and d.idx = c.idx + lag and n > lag + 20) select grp, n, lag, round({D.pearson('a', 'b')}, 6) as r from l group by 1, 2, 3")
 def autocorr_words(spark, folder):
-    return sequence.word_lag_correlation(docs(spark, folder), LANG, "doc_id")
+    return sequence.word_lag_correlation(docs(spark, folder), _lang(), "doc_id")
 
 
 _GAPS = f"""with {_BASE}, off as (select grp, doc, text, coalesce(sum(length(text)) over (partition by grp order by doc rows between unbounded preceding and 1 preceding), 0) as off from base where text <> ''),
@@ -305,7 +319,7 @@ gaps as (select * from (select grp, idx, idx - lag(idx) over (partition by grp o
 
 @query(f"{_GAPS} select grp, idx::bigint as place, gap::bigint as gap from gaps")
 def marker_gaps(spark, folder):
-    return sequence.marker_gaps(docs(spark, folder), LANG, "doc_id", sequence.MARKERS["all_terminal_punct"])
+    return sequence.marker_gaps(docs(spark, folder), _lang(), "doc_id", sequence.MARKERS["all_terminal_punct"])
 
 
 @query(f"{_GAPS}, e as (select grp, gap, unnest([{', '.join(map(str, sequence.PERIODS))}]) as k from gaps), o as (select grp, k, gap % k as r, count(*) as o from e group by 1, 2, 3), s as (select grp, k, sum(o)::bigint as n_gaps, sum(o * o) as oo from o group by 1, 2) select grp, k, n_gaps, case when n_gaps >= 5 * k then round(oo::double * k / n_gaps - n_gaps, 6) end as chi2 from s")
@@ -316,7 +330,7 @@ def gap_chi2(spark, folder):
 # --- resampling: rows only --------------------------------------------------------------------------------
 
 def _sentence_values(spark, folder):
-    return lexical.sentence_lengths(docs(spark, folder).where(PROSE), SOURCE, "doc_id").select("grp", F.concat_ws(":", "doc", "k").alias("at"), F.col("words").alias("x"))
+    return lexical.sentence_lengths(docs(spark, folder).where(_prose()), _source(), "doc_id").select("grp", F.concat_ws(":", "doc", "k").alias("at"), F.col("words").alias("x"))
 
 
 @query()
@@ -331,7 +345,7 @@ def difference_tests(spark, folder):
 
 @query()
 def permutation_autocorr(spark, folder):
-    seqs = sequence.sentence_sequences(docs(spark, folder).where(PROSE), "doc_id")
+    seqs = sequence.sentence_sequences(docs(spark, folder).where(_prose()), "doc_id")
     return resample.lag_battery(seqs, sequence.LAGS, sequence.MAX_SENTENCES).withColumnRenamed("id", "doc_id")
 
 
@@ -452,7 +466,7 @@ def probe_routes(spark, folder):
 @query("select doc_id::varchar as sample_id, coalesce(source, 'none') as kind, sha256(text) as sha256, octet_length(encode(text))::bigint as bytes_len, to_base64(encode(text)) as content_b64, text, true as decodes_as_utf8, lang from documents where text is not null")
 def manifest_records(spark, folder):
     d = docs(spark, folder).where("text is not null").withColumn("content", F.encode("text", "UTF-8"))
-    return records.make_records(d, "doc_id", "content", "x", F.col("lang"), SOURCE.alias("own")).withColumn("kind", F.col("own")).drop("own")
+    return records.make_records(d, "doc_id", "content", "x", F.col("lang"), _source().alias("own")).withColumn("kind", F.col("own")).drop("own")
 
 
 @query("with m as (select distinct sample_id, sha256, bytes_len, content_b64, text, decodes_as_utf8 from manifest) select count(*) as records, sum((not coalesce(sha256(from_base64(content_b64)) = sha256, false))::int)::bigint as bad_sha, sum((not coalesce(octet_length(from_base64(content_b64)) = bytes_len, false))::int)::bigint as bad_length, sum((not coalesce(case when decodes_as_utf8 then text = decode(from_base64(content_b64)) else text is null end, false))::int)::bigint as bad_text from m")
