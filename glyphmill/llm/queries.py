@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name, and SQL for those that SQL can express."""
+"""The queries of this subpackage, by name."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from glyphmill.llm.encode import encode_texts
 from glyphmill.llm.lookalike import hidden_pairs, uniform_texts
 from glyphmill.llm.mixing import Mix, mix_sources
 from glyphmill.llm.neardup import near_duplicates
+from glyphmill.llm.oracle import oracle_sql
 from glyphmill.llm.pairs import pair_defects
 from glyphmill.llm.sentences import sentence_units
 from glyphmill.llm.spans import shared_spans
 from glyphmill.llm.terms import TermStore
 from glyphmill.storage import new_path, read_table
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def p1_near(spark: SparkSession, folder: str):
     return near_duplicates(read_table(spark, folder, "manifest"), "sample_id", "text", shingle=3, threshold="0.6", min_words=40)
@@ -83,7 +86,3 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
