@@ -118,8 +118,8 @@ def base64(content: Column) -> Column:
 
 
 def terminal_route(content: Column) -> Column:
-    """What a terminal's line discipline makes of a text: CR before each LF."""
-    return F.encode(F.replace(F.decode(content, "UTF-8"), F.lit("\n"), F.lit("\r\n")), "UTF-8")
+    """What a terminal's line discipline makes of the bytes: CR before each LF, whatever the encoding."""
+    return F.encode(F.replace(F.decode(content, "ISO-8859-1"), F.lit("\n"), F.lit("\r\n")), "ISO-8859-1")
 
 
 def text_route(content: Column) -> Column:

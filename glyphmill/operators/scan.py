@@ -204,7 +204,7 @@ def reports(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:
     buckets = F.map_from_arrays(F.array(*map(F.lit, BUCKETS)), F.array(*map(of, BUCKETS)))
     flags = document_flags(rows, "id", "text")
     out = rows.join(per_doc, "id", "left").join(flags, "id", "left")
-    notes = F.array_compact(F.array(F.when(~F.col("utf8_valid"), "FILE IS NOT VALID UTF-8"), F.when(F.startswith("text", F.lit("﻿")), "Leading U+FEFF byte-order mark present."), F.when(F.col("has_tag_characters"), "UNICODE TAG CHARACTERS PRESENT")))
+    notes = F.array_compact(F.array(F.when(~F.col("utf8_valid"), "FILE IS NOT VALID UTF-8"), F.when(F.startswith("text", F.lit("\ufeff")), "Leading U+FEFF byte-order mark present."), F.when(F.col("has_tag_characters"), "UNICODE TAG CHARACTERS PRESENT")))
     return out.select(
         "id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("utf8_bytes"), F.length("text").alias("char_count"), "utf8_valid", "decode_error",
         F.struct(*FLAGS, "is_pure_ascii", (F.col("is_printable_ascii_plus_newline_tab") & F.col("utf8_valid")).alias("is_printable_ascii_plus_newline_tab"), "any_suspicious").alias("summary"),
