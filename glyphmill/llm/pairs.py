@@ -263,7 +263,7 @@ def _cjk(word: str) -> bool:
     return any(_script(c) in ("kana", "han") for c in word)
 
 
-SCRIPTS = {"ru": re.compile("[Ѐ-ԯ]"), "ja": re.compile("[぀-ヿ一-鿿]"), "ar": re.compile("[؀-ۿ]"), "hi": re.compile("[ऀ-ॿ]"), "th": re.compile("[฀-๿]")}
+SCRIPTS = {"ru": re.compile("[Ѐ-ԯ]"), "ja": re.compile("[぀-ヿ一-鿿]"), "ar": re.compile("[\u0600-ۿ]"), "hi": re.compile("[ऀ-ॿ]"), "th": re.compile("[฀-๿]")}
 
 
 def _surely(text: str, lang: str) -> bool:

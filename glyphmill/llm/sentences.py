@@ -65,7 +65,7 @@ def abbreviations() -> dict:
 
 @functools.lru_cache(maxsize=4096)
 def _widthless(ch: str) -> bool:
-    return unicodedata.category(ch) == "Cf" or "︀" <= ch <= "️"
+    return unicodedata.category(ch) == "Cf" or "\ufe00" <= ch <= "\ufe0f"
 
 
 @functools.lru_cache(maxsize=4096)

@@ -5,7 +5,7 @@ from glyphmill.llm.pairs import expected_language, is_copy, is_empty, is_other_l
 PROMPT = "Explain to a colleague why the pump at Kelen behaves that way. Keep it plain."
 
 
-@pytest.mark.parametrize("text", [None, "", " \n　", "​", "...", "—", "N/A", "[empty]", "(no output)", "null", '""', "<no answer>", "Keine Antwort."])
+@pytest.mark.parametrize("text", [None, "", " \n\u3000", "\u200b", "...", "—", "N/A", "[empty]", "(no output)", "null", '""', "<no answer>", "Keine Antwort."])
 def test_empty(text):
     assert is_empty(text)
 
