@@ -37,8 +37,11 @@ class TermStore:
     def __post_init__(self) -> None:
         if bad := set(self.fields.values()) - {"words", "value"}:
             raise ValueError(f"unknown kind of field: {sorted(bad)}")
-        while self._there(f"{self.path}/counts/{self.version + 1}"):
-            self.version += 1
+        layer = 1
+        while self._there(f"{self.path}/records/{layer}"):  # a layer without counts is left over from a batch that broke off
+            if self._there(f"{self.path}/counts/{layer}"):
+                self.version = layer
+            layer += 1
 
     def _there(self, path: str) -> bool:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

@@ -15,7 +15,7 @@ CASES = [
     ("水深2.5米。有人说：“好。”“谁来？”渔夫问道。完了！", ["水深2.5米。", "有人说：“好。”", "“谁来？”渔夫问道。", "完了！"]),
     ("「昔だ。」と先生は言った。次だ。", ["「昔だ。」と先生は言った。", "次だ。"]),
     ("नदी है। डॉ. कल 3.2 मीटर आए। क्या?", ["नदी है।", "डॉ. कल 3.2 मीटर आए।", "क्या?"]),
-    ("ครูพบเรือ ครูวัด 24 ครั้ง ตลาดปิด", ["ครูพบเรือ", "ครูวัด 24 ครั้ง ตลาดปิด"]),
+    ("ครูพบเรือ ครูวัด 24 ครั้ง ตลาดปิด", ["ครูพบเรือ", "ครูวัด 24 ครั้ง", "ตลาดปิด"]),
     ("هل يفتح؟ يرسم 18.8 متر. نعم.", ["هل يفتح؟", "يرسم 18.8 متر.", "نعم."]),
     ("It was 8 a\u200b.m. wh\u00aden he le\u2060ft. Bye.", ["It was 8 a\u200b.m. wh\u00aden he le\u2060ft.", "Bye."]),
     ('An open "mark never closes. Still two.', ['An open "mark never closes.', "Still two."]),
