@@ -61,56 +61,79 @@ def _distinctive(grams: DataFrame, least: int, k: int) -> DataFrame:
     return best.select("grp", "place", "gram", "n", F.col("total").alias("total_ngrams"), F.col("distinct").alias("distinct_ngrams"), F.round(F.col("rate") * 1000, 6).alias("rate_per_1000"), F.round(F.col("excess") * 1000, 6).alias("excess_per_1000"))
 
 
-def _following(rows: DataFrame, n: int, head: Column) -> DataFrame:
-    """``rows`` (grp, doc, at: number of the row in its group) with ``heads``: those of the next n rows, joined by number."""
-    heads = rows.select("grp", F.col("at").alias("_at"), head.alias("_head"))
-    out = rows
+def _counted(each: DataFrame) -> DataFrame:
+    return each.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+
+
+def _next_heads(ends: DataFrame, n: int) -> DataFrame:
+    """``ends`` (grp, doc, head, ...) with the heads of the next n documents of the group, h1 to hn: only heads travel."""
+    numbered = running_total(ends, ["grp"], ["doc"], F.lit(1), "at")
+    heads = numbered.select("grp", F.col("at").alias("_at"), "head")
     for k in range(1, n + 1):
-        out = out.join(heads.select("grp", (F.col("_at") - k).alias("at"), F.col("_head").alias(f"_h{k}")), ["grp", "at"], "left")
-    return out
+        numbered = numbered.join(heads.select("grp", (F.col("_at") - k).alias("at"), F.col("head").alias(f"h{k}")), ["grp", "at"], "left")
+    return numbered
 
 
 def word_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col: str = "text") -> DataFrame:
-    """(grp, gram, n, first): n words in a row over a group's words, on through the documents in their order."""
-    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.transform(T.words(F.col("text")), F.lower).alias("words")).where(F.size("words") > 0)
+    """(grp, gram, n, first): n words in a row over a group's words, on through the documents in their order.
+
+    Grams inside a document need nothing but it; those over seams are made of first and last words only.
+    """
+    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.transform(T.words(F.col("text")), F.lower).alias("w")).where(F.size("w") > 0)
+    gram = lambda w, k: F.array_join(F.slice(w, k, n), " ")
+    inner = rows.where(F.size("w") >= n).select("grp", "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: gram(F.col("w"), k))).alias("k", "gram"))
+    each = inner.select("grp", "gram", F.struct("doc", "k").alias("first"))
     if n > 1:
-        numbered = running_total(rows, ["grp"], ["doc"], F.lit(1), "at")
-        rows = _following(numbered, n - 1, F.slice("words", 1, n - 1))
-        heads = F.flatten(F.array(*(F.coalesce(f"_h{k}", F.array().cast("array<string>")) for k in range(1, n))))
-        rows = rows.select("grp", "doc", F.size("words").alias("own"), F.concat("words", F.slice(heads, 1, n - 1)).alias("words"))
-    else:
-        rows = rows.withColumn("own", F.size("words"))
-    starts = F.least(F.col("own"), F.size("words") - (n - 1))
-    each = rows.where(starts > 0).select("grp", "doc", "words", F.explode(F.sequence(F.lit(1), starts)).alias("k"))
-    gram = F.array_join(F.slice("words", F.col("k"), n), " ")
-    return each.select("grp", gram.alias("gram"), F.struct("doc", "k").alias("first")).groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        ends = rows.select("grp", "doc", F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(F.size("w") - (n - 2), F.lit(1)), n - 1).alias("tail"), F.size("w").alias("size"))
+        seams = _next_heads(ends, n - 1)
+        joined = F.concat("tail", F.slice(F.flatten(F.array(*(F.coalesce(f"h{k}", F.array().cast("array<string>")) for k in range(1, n)))), 1, n - 1))
+        seams = seams.select("grp", "doc", "size", F.size("tail").alias("own"), joined.alias("w")).where(F.size("w") >= n)
+        over = seams.select("grp", "doc", "size", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.col("own"), F.size("w") - (n - 1))), lambda k: gram(F.col("w"), k))).alias("k", "gram"))
+        each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
+    return _counted(each)
+
+
+def _pieces(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """``keep`` with (k, gram): all n characters in a row of the text ``t``. Neighbours are zipped, not looked up by place."""
+    chars = rows.where(F.length("t") >= n).select(*keep, T.characters(F.col("t")).alias("c"))
+    if n == 1:
+        return chars.select(*keep, F.posexplode("c").alias("k", "gram"))
+    shifted = [F.slice("c", F.lit(j + 1), F.size("c") - (n - 1)).alias(f"c{j}") for j in range(n)]
+    zipped = chars.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("k", "z"))
+    return zipped.select(*keep, "k", F.concat(*(F.col(f"z.c{j}") for j in range(n))).alias("gram"))
 
 
 def char_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col: str = "text") -> DataFrame:
     """(grp, gram, n, first): n characters in a row of a group's joined texts in normal form.
 
-    Joining is done at the seams only: a blank at the start goes if the text before ends with one, or if
-    there is none before; a blank at the very end goes.
+    Texts are joined at the seams only: a blank at a text's start goes if the text before ends with one or if
+    there is none before; a blank at the very end goes. First and last characters tell this, so whole texts
+    stay where they are; only those with a blank at an end meet what was found out about them.
     """
-    blank = rf"{T.SPACE}+"
-    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.regexp_replace(F.lower("text"), blank, " ").alias("t")).where("t <> ''")
-    numbered = running_total(rows, ["grp"], ["doc"], F.lit(1), "at")
-    last = numbered.select("grp", (F.col("at") + 1).alias("at"), F.substring("t", -1, 1).alias("_before"))
-    seamed = numbered.join(last, ["grp", "at"], "left").withColumn("t", F.when((F.coalesce("_before", F.lit(" ")) == " ") & F.startswith("t", F.lit(" ")), F.substring("t", 2, 2147483647)).otherwise(F.col("t"))).where("t <> ''").drop("at", "_before")
-    again = running_total(seamed, ["grp"], ["doc"], F.lit(1), "at")
-    ends = again.groupBy("grp").agg(F.max("at").alias("at")).withColumn("_end", F.lit(True))
-    whole = again.join(ends, ["grp", "at"], "left").withColumn("t", F.when(F.col("_end"), F.rtrim("t")).otherwise(F.col("t"))).where("t <> ''")
+    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.regexp_replace(F.lower("text"), rf"{T.SPACE}+", " ").alias("t")).where("t <> ''")
+    ends = rows.select("grp", "doc", F.substring("t", 1, n).alias("head"), F.when(F.length("t") <= n, F.col("t")).otherwise(F.substring("t", -n, n)).alias("tail"), F.length("t").alias("size"))
+    numbered = running_total(ends, ["grp"], ["doc"], F.lit(1), "at")
+    before = numbered.select("grp", (F.col("at") + 1).alias("at"), F.substring("tail", -1, 1).alias("_before"))
+    seen = numbered.join(before, ["grp", "at"], "left").withColumn("lead", ((F.coalesce("_before", F.lit(" ")) == " ") & F.startswith("head", F.lit(" "))).cast("int"))
+    kept = seen.where("size > lead").drop("at", "_before")
+    last = kept.groupBy("grp").agg(F.max("doc").alias("doc")).withColumn("_last", F.lit(True))
+    kept = kept.join(last, ["grp", "doc"], "left").withColumn("trail", (F.coalesce("_last", F.lit(False)) & F.endswith("tail", F.lit(" "))).cast("int")).drop("_last").where("size > lead + trail")
+    blank_ends = F.startswith("t", F.lit(" ")) | F.endswith("t", F.lit(" "))
+    odd = rows.where(blank_ends).join(kept.select("grp", "doc", "lead", "trail"), ["grp", "doc"]).select("grp", "doc", F.substring(F.col("t"), F.col("lead") + 1, F.length("t") - F.col("lead") - F.col("trail")).alias("t"))
+    whole = rows.where(~blank_ends).unionByName(odd)
+    each = _pieces(whole, ["grp", "doc"], n).select("grp", "gram", F.struct("doc", "k").alias("first"))
     if n > 1:
-        whole = _following(whole, n - 1, F.substring("t", 1, n - 1))
-        tail = F.substring(F.concat(*(F.coalesce(f"_h{k}", F.lit("")) for k in range(1, n))), 1, n - 1)
-        whole = whole.withColumn("own", F.length("t")).withColumn("t", F.concat("t", tail))
-    else:
-        whole = whole.withColumn("own", F.length("t"))
-    starts = F.least(F.col("own"), F.length("t") - (n - 1))
-    chars = whole.where(starts > 0).select("grp", "doc", T.characters(F.col("t")).alias("c"), starts.alias("starts"))
-    each = chars.select("grp", "doc", "c", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("k"))
-    gram = F.array_join(F.slice("c", F.col("k"), n), "")
-    return each.select("grp", gram.alias("gram"), F.struct("doc", "k").alias("first")).groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        size = F.col("size") - F.col("lead") - F.col("trail")
+        # of what is left of a text, the first and last n-1 characters; both ends hold n, so a blank less still leaves them
+        head = F.substring(F.substring("head", F.col("lead") + 1, F.least(size, F.lit(n))), 1, n - 1)
+        rest = F.substring("tail", F.lit(1), F.length("tail") - F.col("trail"))
+        tail = F.substring(rest, F.greatest(F.length(rest) - F.least(size, F.lit(n - 1)), F.lit(0)) + 1, F.lit(n))
+        seams = _next_heads(kept.select("grp", "doc", head.alias("head"), tail.alias("tail"), size.alias("size")), n - 1)
+        joined = F.concat("tail", F.substring(F.concat(*(F.coalesce(f"h{k}", F.lit("")) for k in range(1, n))), 1, n - 1))
+        seams = seams.select("grp", "doc", "size", F.length("tail").alias("own"), joined.alias("t")).where(F.length("t") >= n)
+        over = _pieces(seams, ["grp", "doc", "size", "own"], n).where("k < own")
+        each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
+    return _counted(each)
 
 
 def distinctive_words(docs: DataFrame, group: Column, order_col: str, n: int, k: int = 12, text_col: str = "text") -> DataFrame:
