@@ -54,11 +54,11 @@ class NearDuplicates:
         return across.unionByName(copies)
 
     def links(self) -> DataFrame:
-        """One row per record: its class and its number of similar other texts."""
+        """One row per record with a text: its class of equal texts and the number of similar other texts (0 if it is too short for any)."""
         p = self.pairs
         n = p.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
         of = self.classes.select("rid", "digest").join(n, "rid", "left").select("digest", F.coalesce("links", F.lit(0)).alias("links"))
-        return self.members.join(of, "digest").select("id", F.lower(F.hex("digest")).alias("class_id"), "links")
+        return self.members.join(of, "digest", "left").select("id", F.lower(F.hex("digest")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _tokenise(size: int, min_words: int):

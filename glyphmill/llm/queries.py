@@ -14,7 +14,7 @@ from glyphmill.llm.neardup import near_duplicates
 from glyphmill.llm.oracle import oracle_sql
 from glyphmill.llm.pairs import pair_defects
 from glyphmill.llm.sentences import sentence_units
-from glyphmill.llm.spans import shared_spans
+from glyphmill.llm.spans import SharedSpans, shared_spans
 from glyphmill.llm.terms import TermStore
 from glyphmill.storage import new_path, read_table
 
@@ -29,6 +29,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_near(spark, folder).record_pairs().select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_near(spark, folder).links().withColumnRenamed("id", "sample_id")
+
+
 def p2_store(spark: SparkSession, folder: str) -> TermStore:
     """The manifest in two batches: what came in by the middle of its time, then the rest, re-recorded rows included."""
     m = read_table(spark, folder, "manifest").select("sample_id", "text", "model_id", "ingested_at")
@@ -45,9 +49,29 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_store(spark, folder).marked().where("mark is not null").select("field", "value", "mark")
 
 
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_store(spark, folder).counts()
+
+
+def p3_spans(spark: SparkSession, folder: str) -> SharedSpans:
+    return shared_spans(read_table(spark, folder, "manifest"), "sample_id", "text", length=200)
+
+
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    c = p3_spans(spark, folder).coverage()
+    return c.select(F.col("id").alias("sample_id"), "chars", "shared_chars", F.round("shared_part", 6).alias("shared_part"))
+
+
+def p3_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and fuzzy passages of pairs of different texts, each text by its hash."""
+    spans = p3_spans(spark, folder)
+    name = spans.texts.select("rid", F.lower(F.hex("digest")).alias("md5"))
+    p = spans.passages.join(name.withColumnsRenamed({"rid": "rid_a", "md5": "md5_a"}), "rid_a").join(name.withColumnsRenamed({"rid": "rid_b", "md5": "md5_b"}), "rid_b")
+    return p.select("md5_a", "md5_b", "a_start", "a_end", "b_start", "b_end", "exact")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    spans = shared_spans(read_table(spark, folder, "manifest"), "sample_id", "text", length=200)
-    return spans.stretches().select(F.col("id").alias("sample_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    return p3_spans(spark, folder).stretches().select(F.col("id").alias("sample_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,4 +109,4 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

@@ -59,9 +59,9 @@ class TermStore:
         for layer in layers[1:]:
             whole = whole.unionByName(layer)
         if len(layers) == 1:
-            return whole.where("not gone").drop("version", "gone")
+            return whole.where("not gone").drop("version", "gone", "had")
         last = whole.groupBy("id").agg(F.max("version").alias("version"))
-        return whole.join(last, ["id", "version"]).where("not gone").drop("version", "gone")
+        return whole.join(last, ["id", "version"]).where("not gone").drop("version", "gone", "had")
 
     def counts(self) -> DataFrame:
         """(field, value, occurrences, records) of the present version."""
@@ -105,20 +105,22 @@ class TermStore:
         here, target = self._records(), self.version + 1
         where = f"{self.path}/records/{target}"
         if here is None:
-            new.withColumn("gone", F.lit(False)).write.mode("overwrite").option("compression", "zstd").parquet(where)
+            new.withColumn("gone", F.lit(False)).withColumn("had", F.lit(False)).write.mode("overwrite").option("compression", "zstd").parquet(where)
             signed = self.spark.read.parquet(where).select("id", F.lit(1).alias("sign"), *self._columns())
         else:
             known = here.select("id", F.col("digest").alias("held"))
             fresh = new.join(known, "id", "left").where("held is null or held <> digest")
-            fresh = fresh.select("id", "digest", *self._columns(), F.lit(False).alias("gone"))
+            fresh = fresh.select("id", "digest", *self._columns(), F.lit(False).alias("gone"), F.col("held").isNotNull().alias("had"))
             if gone is not None:
-                lost = gone.join(known.select("id"), "id", "left_semi").select("id", F.lit(None).cast("string").alias("digest"), *(F.lit(None).cast("string").alias(v) for v in self._columns()), F.lit(True).alias("gone"))
+                lost = gone.join(known.select("id"), "id", "left_semi").select("id", F.lit(None).cast("string").alias("digest"), *(F.lit(None).cast("string").alias(v) for v in self._columns()), F.lit(True).alias("gone"), F.lit(True).alias("had"))
                 fresh = fresh.unionByName(lost)
             fresh.write.mode("overwrite").option("compression", "zstd").parquet(where)
             touched = self.spark.read.parquet(where)
             plus = touched.where("not gone").select("id", F.lit(1).alias("sign"), *self._columns())
-            minus = here.join(touched.select("id"), "id", "left_semi").select("id", F.lit(-1).alias("sign"), *self._columns())
-            signed = plus.unionByName(minus)
+            signed = plus
+            if touched.where("had").limit(1).count():  # else no old texts need to be read
+                minus = here.join(touched.where("had").select("id"), "id", "left_semi").select("id", F.lit(-1).alias("sign"), *self._columns())
+                signed = plus.unionByName(minus)
         changes = self._signed_terms(signed)
         if self.version:
             old = self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/{self.version}").drop("bucket")
