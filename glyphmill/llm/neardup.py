@@ -4,6 +4,9 @@ Adaptive multi-match prefixes. All shingles are put in one global order, rare on
 reach Jaccard similarity t, then for every m the first ``|r| - ceil(t|r|) + m`` shingles of both share at
 least m. Each record picks its own m by the estimated cost: a longer prefix reads more postings but
 demands more common ones before a pair is verified. A pair must share ``min(m_a, m_b)`` prefix shingles.
+Of a pair the smaller set is looked up by a shorter prefix, ``|r| - ceil(2t/(1+t) |r|) + m``: its partner is
+no smaller, so they have more in common. Texts that only have a frequent passage in common, less of it
+than would make them similar, then never meet: the passage's shingles come after those prefixes.
 Rareness comes from counts of all shingles in a table of fixed width; any order keeps the result exact,
 the counts only make it fast.
 """
@@ -120,11 +123,12 @@ def _prefixes(table, bits: int, t: Fraction, most: int, verify_cost: float):
                 cost = reach[ends - 1] * (1 + verify_cost / m)
                 best = int(np.argmin(cost))
                 take = int(ends[best])
+                index = min(take, n - (2 * num * n + den + num - 1) // (den + num) + best + 1)
                 grams.append(h[order[:take]])
                 rids.append(np.full(take, rid, np.int64))
-                metas.append(np.full(take, n * 16 + best + 1, np.int32))
+                metas.append((n * 16 + best + 1) * 2 + (np.arange(take) < index).astype(np.int32))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(metas))], ["gram", "rid", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(metas).astype(np.int32))], ["gram", "rid", "meta"])
 
     return run
 
@@ -170,14 +174,16 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, *, shingle:
     table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     shared = spark.sparkContext.broadcast(table)
     postings = sets.select("rid", "size", "grams").mapInArrow(_prefixes(shared, bits, t, most_matches, verify_cost), "gram long, rid long, meta int")
-    a = postings.select("gram", F.col("rid").alias("rid_a"), F.col("meta").alias("meta_a"))
-    b = postings.select("gram", F.col("rid").alias("rid_b"), F.col("meta").alias("meta_b"))
-    size = lambda c: F.shiftright(F.col(c), 4)
-    near_size = (size("meta_a") * t.denominator >= size("meta_b") * t.numerator) & (size("meta_b") * t.denominator >= size("meta_a") * t.numerator)
+    # meta: (size * 16 + m) * 2, and 1 if the shingle is in the shorter prefix
+    low = postings.where(F.col("meta").bitwiseAND(1) == 1).select("gram", F.col("rid").alias("rid_a"), F.col("meta").alias("meta_a"))
+    high = postings.select("gram", F.col("rid").alias("rid_b"), F.col("meta").alias("meta_b"))
+    size_a, size_b = (F.shiftright(F.col(c), 5) for c in ("meta_a", "meta_b"))
+    asked = lambda c: F.shiftright(F.col(c), 1).bitwiseAND(15)
+    ordered = (size_a < size_b) | (size_a == size_b) & (F.col("rid_a") < F.col("rid_b"))
     candidates = (
-        a.join(b, "gram")
-        .where((F.col("rid_a") < F.col("rid_b")) & near_size)
-        .groupBy("rid_a", "rid_b", F.least(F.col("meta_a").bitwiseAND(15), F.col("meta_b").bitwiseAND(15)).alias("need"))
+        low.join(high, "gram")
+        .where(ordered & (size_a * t.denominator >= size_b * t.numerator))
+        .groupBy(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"), F.least(asked("meta_a"), asked("meta_b")).alias("need"))
         .agg(F.count(F.lit(1)).alias("hits"))
         .where("hits >= need")
         .select("rid_a", "rid_b")

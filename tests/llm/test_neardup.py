@@ -64,3 +64,13 @@ def test_long_text_and_many_copies(spark):
 def test_empty_table(spark):
     found = near_duplicates(spark.createDataFrame([], "id string, text string"), "id", "text")
     assert found.record_pairs().count() == found.links().count() == 0
+
+
+def test_a_frequent_passage_makes_no_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(f"r{k}", " ".join(word() for _ in range(25)) + " " + passage + " " + " ".join(word() for _ in range(25))) for k in range(300)]
+    rows += [(f"t{k}", passage + f" x{chr(97 + k)}") for k in range(3)]
+    found = near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", shingle=3, threshold="0.6")
+    assert {tuple(r) for r in found.record_pairs().collect()} == {("t0", "t1"), ("t0", "t2"), ("t1", "t2")} == brute(rows, 3, 0.6, 0)
