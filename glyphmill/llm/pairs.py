@@ -378,7 +378,8 @@ def may_end(ends: list[int], seen: list[int], last: str, lines: bool, least: flo
             return False  # a word that is hardly found elsewhere is a part of one
         if seen[4] > 3 and ends[4] < 0.4 * seen[4]:
             return False
-    if last and last[0].isalpha() and ends[3] > 0.4 * seen[3] and ends[5] < 0.05 * seen[5]:
+    rare = ends[5] / max(1, seen[5])
+    if last and last[0].isalpha() and (rare < 0.05 and ends[3] > 0.4 * seen[3] or rare < 0.01 and ends[3] > 0.15 * seen[3]):
         return False  # found mostly where texts stop, and nearly always longer elsewhere
     for e, n in zip(ends[:4], seen[:4]):
         if n > 8:
