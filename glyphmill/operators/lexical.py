@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from glyphmill.functions import text as T
 from glyphmill.functions.stats import describe, rate_columns, two_proportion_z
@@ -61,7 +62,12 @@ def _distinctive(grams: DataFrame, least: int, k: int) -> DataFrame:
     return best.select("grp", "place", "gram", "n", F.col("total").alias("total_ngrams"), F.col("distinct").alias("distinct_ngrams"), F.round(F.col("rate") * 1000, 6).alias("rate_per_1000"), F.round(F.col("excess") * 1000, 6).alias("excess_per_1000"))
 
 
-def _counted(each: DataFrame) -> DataFrame:
+def _counted(each: DataFrame, pack: bool) -> DataFrame:
+    """Counts and first places. With ``pack`` places of whole numbers are packed into one decimal, which a hash aggregate can keep; others need a sort."""
+    doc = each.schema["first"].dataType["doc"].dataType
+    if pack and isinstance(doc, (IntegerType, LongType)):
+        place = F.col("first.doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("first.k").cast("decimal(10,0)")
+        return each.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     return each.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
 
 
@@ -90,7 +96,7 @@ def word_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col
         seams = seams.select("grp", "doc", "size", F.size("tail").alias("own"), joined.alias("w")).where(F.size("w") >= n)
         over = seams.select("grp", "doc", "size", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.col("own"), F.size("w") - (n - 1))), lambda k: gram(F.col("w"), k))).alias("k", "gram"))
         each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
-    return _counted(each)
+    return _counted(each, pack=False)
 
 
 def _pieces(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
@@ -133,7 +139,7 @@ def char_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col
         seams = seams.select("grp", "doc", "size", F.length("tail").alias("own"), joined.alias("t")).where(F.length("t") >= n)
         over = _pieces(seams, ["grp", "doc", "size", "own"], n).where("k < own")
         each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
-    return _counted(each)
+    return _counted(each, pack=True)
 
 
 def distinctive_words(docs: DataFrame, group: Column, order_col: str, n: int, k: int = 12, text_col: str = "text") -> DataFrame:
