@@ -10,7 +10,7 @@ those, every span of ``length`` characters is compared by hash, in work linear i
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,17 +144,20 @@ def _same(a: str, i: int, b: str, j: int, most: int) -> int:
 
 def align(a: str, b: str, anchors: list[tuple[int, int]], k: int, gap: float, length: int) -> list[tuple[int, int, int, int, bool]]:
     """(a_start, a_end, b_start, b_end, exact): exact runs of ``length`` or more, and the reach of chains as long."""
-    ra, rb, out, seen = a[::-1], b[::-1], [], {}
+    ra, rb, out = a[::-1], b[::-1], []
+    seen: dict[int, list[tuple[int, int]]] = {}  # the runs in a of each diagonal, by place; chains come by score
     for one in chain(anchors, k, gap):
         reach: list[tuple[int, int, int, int]] = []
         for t in one:
             i, j = anchors[t]
-            if a[i : i + k] != b[j : j + k] or seen.get(i - j, -1) >= i + k:
+            runs = seen.setdefault(i - j, [])
+            at = bisect_left(runs, (i + 1, 0)) - 1
+            if a[i : i + k] != b[j : j + k] or at >= 0 and runs[at][1] >= i + k:
                 continue
             left = _same(ra, len(a) - i, rb, len(b) - j, min(i, j))
             right = _same(a, i + k, b, j + k, min(len(a) - i, len(b) - j) - k)
             run = (i - left, i + k + right, j - left, j + k + right)
-            seen[i - j] = run[1]
+            insort(runs, run[:2])
             reach.append(run)
             if run[1] - run[0] >= length:
                 out.append((*run, True))

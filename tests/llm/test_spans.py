@@ -64,6 +64,15 @@ def test_fuzzy_passage_spans_an_edit():
     assert {(10, 130, 0, 120, True), (131, 281, 122, 272, True)} <= set(found)
 
 
+def test_two_spans_on_one_diagonal_the_later_longer():
+    rng = random.Random(6)
+    p, x, y, q = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (250, 3000, 3000, 1000))
+    a, b = p + "x" + x + "x" + q, p + "y" + y + "y" + q
+    anchors = {(int(i), int(j)) for i, g in zip(*map(list, text_seeds(a, 64, 200))) for j, h in zip(*map(list, text_seeds(b, 64, 200))) if g == h}
+    found = align(a, b, sorted(anchors), 64, 0.05, 200)
+    assert {r for r in found if r[4]} == {(0, 250, 0, 250, True), (3252, 4252, 3252, 4252, True)}
+
+
 def test_hashes_depend_on_each_place():
     points = code_points("abcabcabd")
     h = kmer_hashes(points, 3)
