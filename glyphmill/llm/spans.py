@@ -4,8 +4,9 @@ Seeds: of every ``length - k + 1`` k-mers in a row the one with the least hash,
 ``length`` characters holds a seed at the same place in both texts. Shared seeds of a pair of texts are
 chained in order, with gap costs, through a Fenwick tree; every seed ends up in one chain. Chains are
 aligned: each seed is stretched along its diagonal to the longest exact run, and a chain's whole reach is
-a fuzzy passage. Equal texts are one text here, and seeds that many texts share are not paired: around
-those, every span of ``length`` characters is compared by hash, in work linear in their places.
+a fuzzy passage. Equal texts are one text here. Passages are of pairs of texts, so their number, and the
+work, grows with the square of the texts that share one. Stretches need no pairs: for them, around seeds that
+many texts share every span of ``length`` characters is compared by hash, in work linear in their places.
 """
 
 from __future__ import annotations
@@ -86,10 +87,44 @@ def _seed(k: int, length: int):
     return run
 
 
-def chain(anchors: list[tuple[int, int]], k: int, gap: float) -> list[list[int]]:
+def steps(places: list[int], k: int) -> list[tuple[int, int, int]]:
+    """Sorted places as progressions (first, step, number), with steps of ``k`` at most; others stand alone."""
+    out, i = [], 0
+    while i < len(places):
+        j, step = i, places[i + 1] - places[i] if i + 1 < len(places) else k + 1
+        while step <= k and j + 1 < len(places) and places[j + 1] - places[j] == step:
+            j += 1
+        out.append((places[i], step if j > i else 0, j - i + 1))
+        i = j + 1
+    return out
+
+
+def crossed(pa: list[int], pb: list[int], k: int, most: int = 1024) -> dict[tuple[int, int], int]:
+    """Anchors of one seed's places in two texts, with the number of seeds for which each stands.
+
+    Where a seed follows itself at the same step in both texts, all its anchors on a diagonal lie in one
+    exact run. If there are over ``most`` in all, the first and the last of each diagonal stand for them.
+    """
+    if len(pa) * len(pb) <= most:
+        return dict.fromkeys(((i, j) for i in pa for j in pb), 1)
+    out: dict[tuple[int, int], int] = {}
+    for x, d, n in steps(sorted(pa), k):
+        for y, e, m in steps(sorted(pb), k):
+            if d != e or not d:
+                out |= dict.fromkeys(((x + s * d, y + t * e) for s in range(n) for t in range(m)), 1)
+                continue
+            for s in range(1 - m, n):
+                i, j = max(s, 0), max(-s, 0)
+                c = min(n - i, m - j) - 1
+                out[x + (i + c) * d, y + (j + c) * d] = 1
+                out[x + i * d, y + j * d] = max(1, c)
+    return out
+
+
+def chain(anchors: list[tuple[int, int]], k: int, gap: float, seeds: dict[tuple[int, int], int] | None = None) -> list[list[int]]:
     """Anchors (place in a, place in b, sorted) as chains of indexes, best first; each anchor is in one.
 
-    A chain's score is ``k`` for each anchor less ``gap`` for each character between neighbours on either
+    A chain's score is ``k`` for each anchor, or each of its ``seeds``, less ``gap`` for each character between neighbours on either
     side. With the gaps' sum taken from the ends, the best forerunner is a prefix maximum over b.
     """
     ends = sorted({b for _, b in anchors})
@@ -105,7 +140,8 @@ def chain(anchors: list[tuple[int, int]], k: int, gap: float) -> list[list[int]]
                 best = max(best, tree[x])
                 x -= x & -x
             linked = best[0] - gap * sum(anchors[j]) if best[1] >= 0 else 0.0
-            score[j], back[j] = (k + linked, best[1]) if linked > 0 else (float(k), -1)
+            own = k * seeds[anchors[j]] if seeds else k
+            score[j], back[j] = (own + linked, best[1]) if linked > 0 else (float(own), -1)
             j += 1
         for t in range(i, j):  # equal places in a don't follow each other
             mine, x = (score[t] + gap * sum(anchors[t]), t), ranks[t]
@@ -142,11 +178,11 @@ def _same(a: str, i: int, b: str, j: int, most: int) -> int:
     return done
 
 
-def align(a: str, b: str, anchors: list[tuple[int, int]], k: int, gap: float, length: int) -> list[tuple[int, int, int, int, bool]]:
+def align(a: str, b: str, anchors: list[tuple[int, int]], k: int, gap: float, length: int, seeds: dict[tuple[int, int], int] | None = None) -> list[tuple[int, int, int, int, bool]]:
     """(a_start, a_end, b_start, b_end, exact): exact runs of ``length`` or more, and the reach of chains as long."""
     ra, rb, out = a[::-1], b[::-1], []
     seen: dict[int, list[tuple[int, int]]] = {}  # the runs in a of each diagonal, by place; chains come by score
-    for one in chain(anchors, k, gap):
+    for one in chain(anchors, k, gap, seeds):
         reach: list[tuple[int, int, int, int]] = []
         for t in one:
             i, j = anchors[t]
@@ -168,12 +204,19 @@ def align(a: str, b: str, anchors: list[tuple[int, int]], k: int, gap: float, le
     return out
 
 
-def _align(k: int, gap: float, length: int):
+def _align(k: int, gap: float, length: int, lists: bool = False):
+    """``lists``: the places come as a list for each text and seed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x, y, places, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(x, y, *r) for r in align(a, b, sorted({(p["pa"], p["pb"]) for p in places}), k, gap, length)]
+                seeds = None
+                if lists:
+                    seeds = {}
+                    for p in places:
+                        seeds |= crossed(p["pa"], p["pb"], k)
+                rows += [(x, y, *r) for r in align(a, b, sorted(seeds or {(p["pa"], p["pb"]) for p in places}), k, gap, length, seeds)]
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.bool_())], ["rid_a", "rid_b", "a_start", "a_end", "b_start", "b_end", "exact"])
 
@@ -208,9 +251,11 @@ def merged(intervals: DataFrame, key: str) -> DataFrame:
 @dataclass
 class SharedSpans:
     """``passages`` (rid_a, rid_b, a_start, a_end, b_start, b_end, exact) of pairs of different texts,
-    ``texts`` (rid, digest, chars), ``members`` (id, digest), ``hot`` (rid, start, end): exact spans around widely shared seeds."""
+    ``texts`` (rid, digest, chars), ``members`` (id, digest), ``hot`` (rid, start, end): exact spans around widely shared seeds,
+    ``near``: the passages around other seeds."""
 
     passages: DataFrame
+    near: DataFrame
     texts: DataFrame
     members: DataFrame
     hot: DataFrame
@@ -218,7 +263,7 @@ class SharedSpans:
 
     def stretches(self) -> DataFrame:
         """(id, start, end): longest stretches of each record that lie in exact spans shared with another record."""
-        p = self.passages.where("exact").select(F.explode(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("a_start").alias("start"), F.col("a_end").alias("end")), F.struct(F.col("rid_b").alias("rid"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))).alias("x")).select("x.*")
+        p = self.near.where("exact").select(F.explode(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("a_start").alias("start"), F.col("a_end").alias("end")), F.struct(F.col("rid_b").alias("rid"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))).alias("x")).select("x.*")
         of_texts = merged(p.unionByName(self.hot), "rid").join(self.texts, "rid").select("digest", "start", "end")
         copied = self.members.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         whole = self.texts.join(copied, "digest").select("digest", F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"))
@@ -236,8 +281,8 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, *, length: int
     """Passages of ``length`` or more characters that stand in more than one record.
 
     Rows that repeat an id with the same text are one record. Records with a null id or text, or with fewer
-    than ``length`` characters, share nothing. Repeats within one record don't count. Seeds at more than
-    ``hot`` places take the linear way described above, so the result is whole for any number of copies.
+    than ``length`` characters, share nothing. Repeats within one record don't count. For stretches, seeds at
+    more than ``hot`` places take the linear way described above; passages are chained at all shared seeds.
     """
     if not 1 <= k <= length < BLOCK:
         raise ValueError("1 <= k <= length is needed")
@@ -249,18 +294,23 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, *, length: int
     tally = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("hash", "n")
     known = seeds.join(tally, "hash")
     few = known.where(f"n <= {hot}").select("hash", "rid", "place")
-    pairs = (
-        few.select("hash", F.col("rid").alias("rid_a"), F.col("place").alias("pa"))
-        .join(few.select("hash", F.col("rid").alias("rid_b"), F.col("place").alias("pb")), "hash")
-        .where("rid_a < rid_b")
-        .groupBy("rid_a", "rid_b")
-        .agg(F.collect_list(F.struct("pa", "pb")).alias("places"))
-    )
     t = table.select("rid", "text")
-    both = pairs.join(t.select(F.col("rid").alias("rid_a"), F.col("text").alias("a")), "rid_a").join(t.select(F.col("rid").alias("rid_b"), F.col("text").alias("b")), "rid_b")
-    passages = both.select("rid_a", "rid_b", "places", "a", "b").mapInArrow(_align(k, gap, length), "rid_a long, rid_b long, a_start long, a_end long, b_start long, b_end long, exact boolean")
+
+    def aligned(at: DataFrame, place: str, lists: bool) -> DataFrame:
+        pairs = (
+            at.select("hash", F.col("rid").alias("rid_a"), F.col(place).alias("pa"))
+            .join(at.select("hash", F.col("rid").alias("rid_b"), F.col(place).alias("pb")), "hash")
+            .where("rid_a < rid_b")
+            .groupBy("rid_a", "rid_b")
+            .agg(F.collect_list(F.struct("pa", "pb")).alias("places"))
+        )
+        both = pairs.join(t.select(F.col("rid").alias("rid_a"), F.col("text").alias("a")), "rid_a").join(t.select(F.col("rid").alias("rid_b"), F.col("text").alias("b")), "rid_b")
+        return both.select("rid_a", "rid_b", "places", "a", "b").mapInArrow(_align(k, gap, length, lists), "rid_a long, rid_b long, a_start long, a_end long, b_start long, b_end long, exact boolean")
+
+    passages = aligned(known.groupBy("hash", "rid").agg(F.collect_list("place").alias("places")), "places", True)
+    near = aligned(few, "place", False)
     many = known.where(f"n > {hot}").groupBy("rid").agg(F.collect_set("place").alias("places")).join(t, "rid").select("rid", "text", "places")
     spans = many.mapInArrow(_around(k, length), "rid long, start long, hash long")
     shared = spans.groupBy("hash").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("hash")
     hot_spans = spans.join(shared, "hash", "left_semi").select("rid", "start", (F.col("start") + length).alias("end"))
-    return SharedSpans(passages, table.select("rid", "digest", F.length("text").cast("long").alias("chars")), members, hot_spans, length)
+    return SharedSpans(passages, near, table.select("rid", "digest", F.length("text").cast("long").alias("chars")), members, hot_spans, length)

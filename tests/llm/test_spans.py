@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from glyphmill.llm.spans import align, chain, kmer_hashes, shared_spans, text_seeds, code_points
+from glyphmill.llm.spans import align, chain, crossed, kmer_hashes, shared_spans, text_seeds, code_points
 
 SCHEMA = "id string, text string, rid long, place string"
 
@@ -73,6 +73,27 @@ def test_two_spans_on_one_diagonal_the_later_longer():
     assert {r for r in found if r[4]} == {(0, 250, 0, 250, True), (3252, 4252, 3252, 4252, True)}
 
 
+def test_passages_of_widely_shared_seeds(spark):
+    rng = random.Random(7)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    left, right = make(60), make(70)
+    rows = [(f"r{k}", make(30) + left + "XYZUVW"[k] + right) for k in range(6)]
+    found = shared_spans(spark.createDataFrame(rows, "id string, text string"), "id", "text", length=25, k=8, hot=3).passages.collect()
+    for exact, start, end in ((True, 30, 90), (True, 91, 161), (False, 30, 161)):
+        assert len({(r.rid_a, r.rid_b) for r in found if r.exact == exact and r.a_start <= start and r.a_end >= end}) == 15
+
+
+@pytest.mark.parametrize("unit", ["=", "ab", "-+--="])
+def test_few_anchors_find_all_exact_runs_of_repetitive_texts(unit):
+    a, b = "x" * 30 + unit * 150 + "y", "zz" + unit * 90 + "w" + unit * 60
+    places = [{int(h): [int(p) for p, g in zip(*text_seeds(t, 8, 25)) if g == h] for h in set(text_seeds(t, 8, 25)[1])} for t in (a, b)]
+    whole = {(i, j) for h, x in places[0].items() for i in x for j in places[1].get(h, [])}
+    few = {p: n for h, x in places[0].items() if h in places[1] for p, n in crossed(x, places[1][h], 8, 20).items()}
+    exact = lambda found: {r for r in found if r[4]}
+    assert len(few) < len(whole) / 5 and few.keys() <= whole
+    assert exact(align(a, b, sorted(few), 8, 0.05, 25, few)) == exact(align(a, b, sorted(whole), 8, 0.05, 25)) != set()
+
+
 def test_hashes_depend_on_each_place():
     points = code_points("abcabcabd")
     h = kmer_hashes(points, 3)
