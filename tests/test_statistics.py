@@ -2,6 +2,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,31 @@ def test_modes_agree_roughly():
     assert resample.uniform_mod_k([1] * 9, 2)["p_value"] is None and resample.bootstrap_mean([])["mean"] is None
 
 
+def test_group_tests_use_all_values(spark):
+    n = 60_000
+    x = spark.range(n).select(F.lit("a").alias("grp"), F.col("id").alias("at"), (F.col("id") * 7919 % 11).alias("x"))
+    y = spark.range(n).select(F.lit("c").alias("grp"), F.col("id").alias("at"), (F.col("id") * 104729 % 13).alias("x"))
+    both, want = x.unionByName(y), [statistics.fmean(k * m % d for k in range(n)) for m, d in ((7919, 11), (104729, 13))]
+    d = resample.difference_tests(both, "c", reps=99).first()
+    assert d.diff == pytest.approx(want[0] - want[1], abs=1e-9) and d.p_value == 0.01
+    spread = math.sqrt((11**2 - 1) / 12 / n + (13**2 - 1) / 12 / n)
+    assert d.ci_hi - d.ci_lo == pytest.approx(2 * 1.96 * spread, rel=0.35)
+    m = {r.grp: r for r in resample.bootstrap_groups(both, reps=99).collect()}
+    assert m["a"].n == m["a"].n_used == n and m["a"].mean == pytest.approx(want[0]) and m["a"].ci_lo < want[0] < m["a"].ci_hi
+    gaps = both.select("grp", "at", (F.col("x") + 1).alias("gap"))
+    chi = {(r.grp, r.k): r.chi2 for r in sequence.gap_chi2(gaps).collect()}
+    got = resample.gap_battery(gaps, sequence.PERIODS).collect()
+    assert len(got) == 18 and all(r.n_used == n and r.chi2 == pytest.approx(chi[r.grp, r.k], rel=1e-6) for r in got)
+
+
+def test_counts_are_dealt_without_replacement():
+    rng, counts = np.random.default_rng(1), np.array([1, 0, 5, 30])
+    draws = np.array([resample.dealt(counts, 9, rng) for _ in range(4000)])
+    assert (draws.sum(axis=1) == 9).all() and (draws >= 0).all() and (draws <= counts).all()
+    assert draws.mean(axis=0) == pytest.approx(counts / 4, abs=0.1)
+    assert draws[:, 2].var() == pytest.approx(9 * 5 / 36 * 31 / 36 * 27 / 35, rel=0.1)
+
+
 def test_ledger(spark):
     rows = [("a:x:1", 0.001, 0.0001), ("a:x:2", 0.04, 0.02), ("a:y:3", 0.5, None), ("b:z", None, None)]
     df = spark.createDataFrame(rows, "name string, p_value double, min_attainable_p double")
