@@ -22,33 +22,42 @@ def sentence_sequences(docs: DataFrame, id_col: str, text_col: str = "text") ->
     return rows.select("id", F.transform(T.sentences(F.col("text")), lambda s: F.size(T.words(s))).alias("x"))
 
 
-def lag_correlation(seqs: DataFrame, lags: tuple[int, ...] = LAGS, cap: int = MAX_SENTENCES, margin: int = 5) -> DataFrame:
+def lag_correlation(seqs: DataFrame, lags: tuple[int, ...] = LAGS, cap: int | None = None, margin: int = 5) -> DataFrame:
     """(id, n, lag, r) of arrays x: correlation of x[:-lag] and x[lag:]; null where a side is constant.
 
-    The first ``cap`` elements count, and a sequence needs more than ``lag + margin`` of them. Each array
-    is paired with itself in place; no sorting is needed.
+    All elements count, or the first ``cap``, and a sequence needs more than ``lag + margin`` of them. Each
+    array is paired with itself in place; no sorting is needed.
     """
-    capped = seqs.select("id", F.slice("x", 1, cap).alias("x")).withColumn("n", F.size("x"))
+    capped = seqs.select("id", (F.slice("x", 1, cap) if cap else F.col("x")).alias("x")).withColumn("n", F.size("x"))
     each = capped.select("id", "n", "x", F.explode(F.array(*map(F.lit, lags))).alias("lag")).where(F.col("n") > F.greatest(F.col("lag") + margin, F.col("lag") + 1))
     pairs = each.select("id", "n", "lag", F.explode(F.arrays_zip(F.slice("x", F.lit(1), F.col("n") - F.col("lag")).alias("a"), F.slice("x", F.col("lag") + 1, F.col("n") - F.col("lag")).alias("b"))).alias("p"))
     return pairs.groupBy("id", "n", "lag").agg(F.round(pearson(F.col("p.a").cast("double"), F.col("p.b").cast("double")), 6).alias("r"))
 
 
-def group_words(docs: DataFrame, group: Column, order_col: str, cap: int, text_col: str = "text") -> DataFrame:
-    """(grp, at, x): lengths of a group's first ``cap`` words, numbered through its documents in order."""
+def group_words(docs: DataFrame, group: Column, order_col: str, cap: int | None = None, text_col: str = "text") -> DataFrame:
+    """(grp, before, x): the lengths of each document's words, and how many words its group has before it. ``cap``: only a group's first words."""
     rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.transform(T.words(F.col("text")), F.length).alias("x")).where(F.size("x") > 0)
-    placed = running_total(rows, ["grp"], ["doc"], F.size("x"), "before").where(F.col("before") < cap)
-    each = placed.select("grp", "before", F.posexplode("x").alias("k", "x"))
-    return each.select("grp", (F.col("before") + F.col("k")).alias("at"), "x").where(F.col("at") < cap)
-
-
-def word_lag_correlation(docs: DataFrame, group: Column, order_col: str, lags: tuple[int, ...] = LAGS, cap: int = MAX_WORDS, margin: int = 20, text_col: str = "text") -> DataFrame:
-    """(grp, n, lag, r) over a group's joined words: each number meets the one ``lag`` further on by an equi-join."""
-    x = group_words(docs, group, order_col, cap, text_col)
-    n = x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    left = x.select("grp", "at", F.col("x").alias("a"), F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("to", F.col("at") + F.col("lag"))
-    right = x.select("grp", F.col("at").alias("to"), F.col("x").alias("b"))
-    r = left.join(right, ["grp", "to"]).groupBy("grp", "lag").agg(F.round(pearson(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("r"))
+    placed = running_total(rows, ["grp"], ["doc"], F.size("x"), "before").select("grp", "before", "x")
+    if cap is None:
+        return placed
+    return placed.where(F.col("before") < cap).withColumn("x", F.slice("x", F.lit(1), F.least(F.size("x"), (F.lit(cap) - F.col("before")).cast("int"))))
+
+
+def word_lag_correlation(docs: DataFrame, group: Column, order_col: str, lags: tuple[int, ...] = LAGS, cap: int | None = None, margin: int = 20, text_col: str = "text") -> DataFrame:
+    """(grp, n, lag, r) over a group's joined words, or the first ``cap`` of them.
+
+    Inside a document its array is paired with itself; only the ends of documents meet others, by an equi-join.
+    """
+    words = group_words(docs, group, order_col, cap, text_col).withColumn("size", F.size("x"))
+    n = words.groupBy("grp").agg(F.sum("size").cast("long").alias("n"))
+    each = words.select("grp", "before", "x", "size", F.explode(F.array(*map(F.lit, lags))).alias("lag"))
+    rest = F.col("size") - F.col("lag")
+    inside = each.where(rest > 0).select("grp", "lag", F.explode(F.arrays_zip(F.slice("x", F.lit(1), rest).alias("a"), F.slice("x", F.col("lag") + 1, rest).alias("b"))).alias("p")).select("grp", "lag", "p.a", "p.b")
+    start = F.greatest(F.lit(0), rest)
+    last = each.select("grp", "lag", (F.col("before") + start + F.col("lag")).alias("to"), F.posexplode(F.slice("x", start + 1, F.col("size"))).alias("k", "a")).select("grp", "lag", (F.col("to") + F.col("k")).alias("to"), "a")
+    first = words.select("grp", "before", F.posexplode(F.slice("x", 1, max(lags))).alias("k", "b")).select("grp", (F.col("before") + F.col("k")).alias("to"), "b")
+    pairs = inside.unionByName(last.join(first, ["grp", "to"]).select("grp", "lag", "a", "b"))
+    r = pairs.groupBy("grp", "lag").agg(F.round(pearson(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("r"))
     return r.join(n, "grp").where(F.col("n") > F.col("lag") + margin).select("grp", "n", "lag", "r")
 
 

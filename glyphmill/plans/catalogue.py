@@ -309,6 +309,12 @@ def autocorr_sentences(spark, folder):
 
 @query(f"with {_BASE}, {_WORDS}, p as (select grp, length(w)::double as x, row_number() over (partition by grp order by doc, k) - 1 as idx from each), c as (select * from p where idx < {sequence.MAX_WORDS}), n as (select grp, count(*) as n from c group by 1), l as (select c.grp, n, lag, c.x as a, d.x as b from c join n using (grp), (select unnest([{_LAGS}]) as lag) g, c d where d.grp = c.grp and d.idx = c.idx + lag and n > lag + 20) select grp, n, lag, round({D.pearson('a', 'b')}, 6) as r from l group by 1, 2, 3")
 def autocorr_words(spark, folder):
+    return sequence.word_lag_correlation(docs(spark, folder), _lang(), "doc_id", cap=sequence.MAX_WORDS)
+
+
+@query()
+def autocorr_words_all(spark, folder):
+    """``autocorr_words`` over all words: its SQL defines it with the reference's cap."""
     return sequence.word_lag_correlation(docs(spark, folder), _lang(), "doc_id")
 
 
@@ -346,7 +352,7 @@ def difference_tests(spark, folder):
 @query()
 def permutation_autocorr(spark, folder):
     seqs = sequence.sentence_sequences(docs(spark, folder).where(_prose()), "doc_id")
-    return resample.lag_battery(seqs, sequence.LAGS, sequence.MAX_SENTENCES).withColumnRenamed("id", "doc_id")
+    return resample.lag_battery(seqs, sequence.LAGS).withColumnRenamed("id", "doc_id")
 
 
 @query()

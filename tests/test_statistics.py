@@ -86,6 +86,20 @@ def test_lags_and_gaps(spark):
     assert chi[2] == pytest.approx(resample.uniform_mod_k([k % 3 + 1 for k in range(40)], 2, 5)["chi2"]) and chi[10] is None
 
 
+def test_lags_of_long_sequences(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join("a" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 2, 5, 900])))) for k in range(200)]
+    x = [len(w) for _, t in docs for w in t.split()]
+    assert len(x) > sequence.MAX_WORDS
+    df = spark.createDataFrame([("g", k, t) for k, t in docs], "grp string, doc int, text string").repartition(3)
+    for cap in (None, 2000):
+        got = {r.lag: (r.n, r.r) for r in sequence.word_lag_correlation(df, F.col("grp"), "doc", cap=cap).collect()}
+        assert got == {lag: (len(x[:cap]), pytest.approx(resample.lag_r(x[:cap], lag), abs=1e-6)) for lag in sequence.LAGS}
+    seqs = spark.createDataFrame([(1, x[:9000])], "id int, x array<int>")
+    for r in (*sequence.lag_correlation(seqs).collect(), *resample.lag_battery(seqs, sequence.LAGS).withColumnRenamed("observed_r", "r").collect()):
+        assert r.n == 9000 and r.r == pytest.approx(resample.lag_r(x[:9000], r.lag), abs=1e-6)
+
+
 def test_exact_mode_follows_the_published_order_of_draws():
     x = [float(v) for v in (3, 1, 4, 1, 5, 9, 2, 6)]
     rng, s, hits = random.Random(resample.SEED), list(x), 0
