@@ -5,6 +5,7 @@ Groups of documents are their languages or sources; the control is the source ``
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -333,6 +334,23 @@ def gap_chi2(spark, folder):
     return sequence.gap_chi2(marker_gaps(spark, folder))
 
 
+def _by_marker(spark, folder, of):
+    """``of`` the gaps of each marker set, with its name."""
+    parts = [of(sequence.marker_gaps(docs(spark, folder), _lang(), "doc_id", marks)).withColumn("marker", F.lit(name)) for name, marks in sequence.MARKERS.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def marker_gaps_all(spark, folder):
+    """``marker_gaps`` of all marker sets; its SQL and that of ``gap_chi2`` define them for one."""
+    return _by_marker(spark, folder, lambda gaps: gaps)
+
+
+@query()
+def gap_chi2_all(spark, folder):
+    return _by_marker(spark, folder, sequence.gap_chi2)
+
+
 # --- resampling: rows only --------------------------------------------------------------------------------
 
 def _sentence_values(spark, folder):
@@ -357,13 +375,13 @@ def permutation_autocorr(spark, folder):
 
 @query()
 def gap_periodicity(spark, folder):
-    return resample.gap_battery(marker_gaps(spark, folder), sequence.PERIODS)
+    return _by_marker(spark, folder, lambda gaps: resample.gap_battery(gaps, sequence.PERIODS))
 
 
 @query()
 def battery_ledger(spark, folder):
     one = ledger.log("autocorr", permutation_autocorr(spark, folder), F.format_string("autocorr:%s:lag%s", "doc_id", "lag"))
-    two = ledger.log("gaps", gap_periodicity(spark, folder), F.format_string("gap_mod:%s:k%s", "grp", "k"))
+    two = ledger.log("gaps", gap_periodicity(spark, folder), F.format_string("gap_mod:%s:%s:k%s", "marker", "grp", "k"))
     return ledger.summary(one.unionByName(two))
 
 

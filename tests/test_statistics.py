@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import stats, text
 from glyphmill.operators import ledger, lexical, resample, sequence
 from glyphmill.operators.ordered import running_total
+from glyphmill.plans import catalogue
 
 
 def one(spark, *columns, rows=None, schema="x double"):
@@ -152,6 +153,16 @@ def test_counts_are_dealt_without_replacement():
     assert draws[:, 2].var() == pytest.approx(9 * 5 / 36 * 31 / 36 * 27 / 35, rel=0.1)
 
 
+def test_gaps_of_all_marker_sets_are_logged(spark):
+    q, folder = catalogue.queries(), "/root/testdata/sf0.001"
+    gaps = q["gap_periodicity"](spark, folder).cache()
+    assert {r.marker for r in gaps.select("marker").distinct().collect()} == set(sequence.MARKERS)
+    chi = {(r.marker, r.grp, r.k): r.chi2 for r in q["gap_chi2_all"](spark, folder).collect()}
+    assert chi == {(r.marker, r.grp, r.k): r.chi2 if r.chi2 is None else pytest.approx(r.chi2, abs=1e-5) for r in gaps.collect()}
+    tests = q["permutation_autocorr"](spark, folder).where("p_value is not null").count() + gaps.where("p_value is not null").count()
+    assert q["battery_ledger"](spark, folder).first().n_tests == tests
+
+
 def test_ledger(spark):
     rows = [("a:x:1", 0.001, 0.0001), ("a:x:2", 0.04, 0.02), ("a:y:3", 0.5, None), ("b:z", None, None)]
     df = spark.createDataFrame(rows, "name string, p_value double, min_attainable_p double")
