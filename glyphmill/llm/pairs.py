@@ -5,13 +5,16 @@ answer adds. Language and refusals: dictionaries of words and phrases. Breaking
 quotations, and a model of terminal contexts, which counts over all answers how often the last words
 before a place end a sentence, an item or a text there, and how often they go on. Only the contexts in
 which some answer stops without a mark are counted: their hashes, as a bit table of fixed size, filter the
-others before the shuffle, and the counts of the contexts themselves are exact.
+others before the shuffle, and the counts of the contexts themselves are exact: how words end is counted
+over the different capitalised words of the whole collection, so that no figure depends on the partitions.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -36,14 +39,24 @@ PLACEHOLDERS = frozenset("na|none|null|nil|nan|undefined|empty|blank|no answer|n
 
 # Frequent words that few other languages of the list share.
 FUNCTION_WORDS = {
-    "en": "the and of a an in on to as at every this that these those from their them with some because which what was were did do does once another people who when while until although whereas unless but said through over before after beyond has have had they you your it its is are be by for not no or if into about keep kept give write list explain describe tell post note text only answer plain one how why where there then so would could can will more than any all we he she his her our my i",
-    "de": "der die das und ist nicht mit von dem den des ein eine einen einer im am in an zu zum zur auf für über trotz nach vor neben ohne gegen seit jeden jeder bei sich wir ich sie er es aber oder weil warum wie auch nur aus zwischen durch hat wird war schreibe kurzen text titel als um so da sind dass",
-    "fr": "le la les des de du un une et est dans pour par sur avec sans au aux chez car où pourquoi depuis avant après pendant vers près qui que ne pas ce cette ces il elle nous vous mais ou dès malgré côté même chaque certains quelques phrases simples écris en à a se son sa ses plus comme",
-    "es": "el la los las un una del de y e es en con por para según hacia desde antes después durante junto cerca porque dónde cada hay cosas que no pero como más muy su sus al lo dijo pesar sin sobre escribe texto breve se a está son",
+    "en": "the and of a an in on to as at every this that these those from their them with some because which what was were did do does once another people who when while until although whereas unless but said through over before after beyond has have had they you your it its is are be by for not no or if into about give one how why where there then so would could can will more than any all we he she his her our my i me him us been being each other such only own same too very just should must may might again against between both during few most off out under up down here",
+    "de": "der die das und ist nicht mit von dem den des ein eine einen einer einem eines im am in an zu zum zur auf für über trotz nach vor neben ohne gegen seit jeden jeder jede bei sich wir ich sie er es aber oder weil warum wie auch nur aus zwischen durch hat wird war als um so da sind dass noch schon wenn werden haben sein seine ihre unter bis kann man mehr sehr wurde dieser diese dieses kein keine",
+    "fr": "le la les des de du un une et est dans pour par sur avec sans au aux chez car où pourquoi depuis avant après pendant vers près qui que ne pas ce cette ces il elle nous vous mais ou dès malgré côté même chaque certains en à a se son sa ses plus comme je tu ils elles leur leurs on dont entre sous lors été être avoir fait très tout tous toute",
+    "es": "el la los las un una del de y e es en con por para según hacia desde antes después durante junto cerca porque dónde cada hay que no pero como más muy su sus al lo sin sobre se a está son este esta estos estas ese esa fue ser ha han entre cuando donde ya también hasta todo todos le les yo ni o si mi",
     "ru": "и в не на а как что это по из у после зачем каждый ещё без очень",
-    "it": "il lo la i gli le di del della dei delle degli e in nel nella che non con per un una sono è dove perché dopo prima ogni a da si al su come più",
-    "pt": "o a os as um uma de do da dos das e em no na com para não que por mais como são está onde depois antes cada se ao seu sua",
-    "nl": "de het een van en in niet met voor op zijn naar ook maar bij uit om door waar waarom elke te dat die is was aan er",
+    "it": "il lo la i gli le di del della dei delle degli e in nel nella che non con per un una sono è dove perché dopo prima ogni a da si al su come più ma anche questo questa quello suo sua loro essere ha hanno tra fra quando se ci alla dalla sul sulla uno",
+    "pt": "o a os as um uma de do da dos das e em no na com para não que por mais como são está onde depois antes cada se ao seu sua mas foi ser ele ela eles pelo pela isso este esta entre quando também já nos nas muito até sem sobre à às",
+    "nl": "de het een van en in niet met voor op zijn naar ook maar bij uit om door waar waarom elke te dat die is was aan er ze hij wij ik je dit deze nog wel geen heeft hebben worden werd als dan over tot onder tussen zich",
+    "sv": "och att det som en ett på är av för med den till inte om har han hon de var jag men så från vi när där eller under efter vid sin sitt sina kan ska skulle mycket hade över utan mellan",
+    "da": "og at det som en et på er af for med den til ikke om har han hun de var jeg men så fra vi når der eller under efter ved sin sit sine kan skal ville meget havde over uden mellem også blev",
+    "pl": "i w na z do się nie to że jest jak o ale po co tak od za przez był była było są dla czy już przed oraz jego jej ich który która które przy bez nad pod tylko może gdy więc",
+    "cs": "a v na se je že do to s z o i jako ale po za od pro by byl byla bylo jsou není který která které při bez nad pod jen když také ve ze jeho její mezi",
+    "ro": "și în de la cu pe nu este o un că din care pentru mai sau dar sunt fost era prin după fără între când unde ce își său sa lui ei lor al ale",
+    "hu": "a az és hogy nem is egy ez volt van de meg csak ki be mint már után alatt között nélkül minden még vagy ha sem lesz azt ezt aki ami",
+    "fi": "ja on ei se että hän oli joka mutta kun niin myös ovat tai jos kuin ole olla ennen jälkeen ilman kanssa mukaan sen tämä jossa mitä vain",
+    "tr": "ve bir bu da de için ile çok ne daha gibi ama en olan olarak kadar sonra önce her şey ya veya değil ki mi mı var yok ben sen o biz onlar üzerinde arasında",
+    "vi": "và của là có không được cho một những các trong với khi này đã để người như ra về lại từ thì cũng nhưng đến sau trước vào nhiều rất vì nên sẽ ở",
+    "id": "dan yang di ke dari untuk dengan tidak ini itu pada adalah dalam akan juga oleh sebagai atau karena ada sudah telah mereka kami kita saya dia lebih setelah sebelum antara tetapi",
 }
 
 # Names of languages as prompts ask for them.
@@ -104,7 +117,6 @@ no (me es posible|puedo|podré|debo) (~)?(ayudar|escribir|responder|hacer|cumpli
 (لا أستطيع|لا يمكنني|أعتذر|آسف|عذرا)
 (क्षमा करें|माफ़ कीजिए|माफ़ करें|नहीं कर सकता|नहीं लिख सकता|मदद नहीं)
 (ขออภัย|ขอโทษ|ไม่สามารถ|ไม่อาจ)"""
-QUOTED = re.compile(r"\"[^\"\n]{0,2000}\"|“[^”\n]{0,2000}”|«[^»\n]{0,2000}»|„[^“”\n]{0,2000}[“”]|「[^」\n]{0,2000}」|『[^』\n]{0,2000}』")
 FINAL = ".!?…。！？｡।؟۔॥"
 CLOSING = "\"”’'»」』)]）】>*_~`"
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“”"}
@@ -131,18 +143,29 @@ def _stems() -> ahocorasick.Automaton:
     return a
 
 
+@functools.lru_cache(maxsize=1)
+def _format_marks() -> re.Pattern[str]:
+    """All characters of the category Cf."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") + "]")
+
+
 def fold(text: str) -> str:
     """Plain lower case with single blanks, for comparisons."""
     if text.isascii():
         return " ".join(text.lower().split())
-    shown = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    shown = _format_marks().sub("", unicodedata.normalize("NFKC", text))
     return " ".join(shown.casefold().replace("’", "'").replace("‘", "'").split())
 
 
+SHOWN = re.compile(r"[^\W_]")
+MOST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 200:
+    letters = sum(1 for _ in itertools.islice(SHOWN.finditer(text), MOST_PLACEHOLDER + 1))
+    if letters > MOST_PLACEHOLDER:  # more than any placeholder has
         return False
     words = " ".join("".join(c if c.isalnum() else " " if c not in "/.'" else "" for c in fold(text)).split())
     return words in PLACEHOLDERS or not words and not any(unicodedata.category(c) in ("So", "Sc") for c in text)
@@ -152,20 +175,25 @@ def is_empty(text: str | None) -> bool:
 def _dictionary(prompt: str) -> tuple[str, zstandard.ZstdCompressor | None]:
     folded = fold(prompt)
     data = folded.encode()
-    if len(data) < 8:
+    if len(data) < 8:  # shorter than a dictionary can be
         return folded, None
     return folded, zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+EDGES = "\"'“”«»„「」>*_`.!?…。 "
+
+
 def novelty(answer: str, prompt: str) -> tuple[int, float]:
-    """Bytes that the answer adds to its prompt, and its length as a part of the prompt's."""
+    """Bytes that the folded answer adds to its prompt, and its length as a part of the prompt's."""
     folded, compressor = _dictionary(prompt)
-    given = fold(answer).strip("\"'“”«»„「」>*_`.!?…。 ")
+    given, whole = answer.strip(EDGES), folded.strip(EDGES)
     if compressor is None:
-        return (0 if given == folded else 10**6), 1.0
-    data = given.encode()
-    whole = folded.strip("\"'“”«»„「」>*_`.!?…。 ").encode()
-    return len(compressor.compress(data)) - len(compressor.compress(whole)), len(data) / max(1, len(whole))
+        return (0 if given == whole else 10**6), 1.0
+    data, own = given.encode(), whole.encode()
+    part = len(data) / max(1, len(own))
+    if part > 2:  # far too long for a copy, whatever it holds
+        return len(data), part
+    return len(compressor.compress(data)) - len(compressor.compress(own)), part
 
 
 #: Labels before a prompt that is given back.
@@ -173,18 +201,41 @@ LABEL = re.compile(r"\s*[>\"'“«„*_#]*\s*(?:the |your |user |original )?(?:p
 
 
 def is_copy(answer: str, prompt: str, most_new: int = 20, new_part: float = 0.3, least_part: float = 0.6) -> bool:
-    """The answer adds at most ``most_new`` bytes to the prompt, and ``new_part`` of its length."""
-    if len(answer) > 2 * len(prompt) + 120:
-        return False
-    new, part = novelty(LABEL.sub("", answer, count=1) if LABEL.match(answer) else answer, prompt)
+    """The answer adds at most ``most_new`` bytes to the prompt, and ``new_part`` of its length; both are folded. Prompts under 8 bytes must be equal."""
+    folded = fold(answer)
+    label = LABEL.match(folded)
+    new, part = novelty(folded[label.end() :] if label else folded, prompt)
     return new <= min(most_new, max(6, new_part * len(prompt.encode()))) and least_part <= part <= 1.6
 
 
+QUOTE_ENDS = {'"': '"', "“": "”", "«": "»", "„": "“”", "「": "」", "『": "』"}
+QUOTE_START = re.compile("[" + "".join(QUOTE_ENDS) + "]")
+
+
+def unquoted(text: str) -> str:
+    """The text with each quotation that closes in its line as a blank."""
+    out, done, at, later = [], 0, 0, {}
+    while (m := QUOTE_START.search(text, at)) is not None:
+        k = m.start()
+        if later.get(m[0], (-1, 0))[0] <= k:  # the next end of such a quotation, or of the line
+            n = re.compile(f"[{QUOTE_ENDS[m[0]]}\n]").search(text, k + 1)
+            later[m[0]] = (n.start() if n else len(text), bool(n) and n[0] != "\n")
+        end, closes = later[m[0]]
+        if closes:
+            out += [text[done:k], " "]
+            done = at = end + 1
+        else:
+            at = k + 1
+    return "".join([*out, text[done:]])
+
+
 def is_refusal(text: str) -> bool:
     """Declines outside of quotations, and hardly says anything else."""
-    if len(text) > 700 or next(_stems().iter(text.lower().replace("’", "'")), None) is None:
+    if next(_stems().iter(text.lower().replace("’", "'")), None) is None:
+        return False
+    bare = unquoted(text)
+    if len(text) - len(bare) > 60:
         return False
-    bare = QUOTED.sub(" ", text)
     pattern, rest, hits = refusal_pattern(), 0, 0
     for a, b in units(bare):
         part = fold(bare[a:b])
@@ -192,7 +243,7 @@ def is_refusal(text: str) -> bool:
             hits += 1
         else:
             rest += len(part)
-    return hits > 0 and rest <= 160 + 40 * hits and len(text) - len(bare) <= 60
+    return hits > 0 and rest <= 160 + 40 * hits
 
 
 @functools.lru_cache(maxsize=1)
@@ -209,6 +260,10 @@ def _script(ch: str) -> str:
     o = ord(ch)
     if o < 0x250:
         return "latin"
+    if ch in "іїєґІЇЄҐ":
+        return "uk"
+    if ch in "پچژگکی":
+        return "fa"
     for lo, hi, name in ((0x370, 0x400, "el"), (0x400, 0x530, "ru"), (0x590, 0x600, "he"), (0x600, 0x780, "ar"), (0x900, 0x980, "hi"), (0xE00, 0xE80, "th"), (0x3040, 0x3100, "kana"), (0x3400, 0xA000, "han"), (0xAC00, 0xD7B0, "ko"), (0x1E00, 0x1F00, "latin"), (0xFB50, 0xFE00, "ar"), (0xFE70, 0xFF00, "ar")):
         if lo <= o < hi:
             return name
@@ -294,8 +349,11 @@ def is_other_language(text: str, prompt: str, least: float = 0.55) -> bool:
     wanted = expected_language(prompt)
     if not wanted or _surely(text, wanted):
         return False
+    words = CHARS.findall(text)
+    if wanted in FUNCTION_WORDS and len(words) >= 20 and sum(wanted in _word_languages().get(w.lower(), ()) for w in words) < 0.04 * len(words):
+        return True  # whatever language it is, known or not: hardly a word of the wanted one's most frequent
     shares = language_shares(text)
-    return bool(wanted and shares and sum(v for k, v in shares.items() if k != wanted) >= least and sum(map(len, CHARS.findall(text))) >= 12)
+    return bool(wanted and shares and sum(v for k, v in shares.items() if k != wanted) >= least and sum(map(len, words)) >= 12)
 
 
 class Vocabulary:
@@ -324,7 +382,7 @@ class Vocabulary:
         return Vocabulary() if len(self.number) > self.LIMIT else self
 
 
-NAME, DIGITS, LINE, ENDING = (xxhash.xxh3_64_intdigest(x) for x in ("<name>", "<digits>", "<line>", "<ending>"))
+NAME, DIGITS, LINE, ENDING, START = (xxhash.xxh3_64_intdigest(x) for x in ("<name>", "<digits>", "<line>", "<ending>", "<start>"))
 #: Contexts, most telling first: the last three words, with names and numbers as classes; the last two; two as written; the last.
 KINDS = ("three", "two", "written", "one", "ending", "whole")
 
@@ -345,30 +403,61 @@ def contexts(numbers: list[int], vocabulary: Vocabulary, side: int) -> tuple[np.
     return np.stack([three, two, written, one])[:, keep], np.r_[stop[1:], True][keep]
 
 
-def ending_key(word: str) -> int:
-    """Key of a word's last letters: do words end so?"""
-    return xxhash.xxh3_64_intdigest("$" + word[-3:].lower()) ^ ENDING
+def lowered(word: str) -> str:
+    """Lower case letter by letter, so that the start of a word is lowered as the start of it."""
+    return word.lower() if word.isascii() else "".join(map(str.lower, word))
 
 
-def start_key(word: str) -> int:
-    """Key of a word's start: how many of the words that start so are only that?"""
-    return xxhash.xxh3_64_intdigest("^" + word.lower()) ^ ENDING
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def start_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all starts of the words, one after another, whether each is a whole word, and the word it is from."""
+    low = [lowered(w) for w in words]
+    size = np.fromiter(map(len, low), np.int64, len(low))
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if not len(points):
+        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(low)), size)
+    first = np.cumsum(size) - size
+    place = np.arange(len(points)) - first[owner]
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(size.max()), _POWER, np.uint64))
+        run = np.cumsum(points * power[place])
+        before = np.r_[np.zeros(1, np.uint64), run][first]
+        return mix((run - before[owner]) ^ np.uint64(START)), place + 1 == size[owner], owner
+
+
+def ending_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the last three letters of all starts of the words that have as many, and whether each is a whole word."""
+    low = [lowered(w) for w in words]
+    size = np.fromiter(map(len, low), np.int64, len(low))
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size) >= 2
+    at = np.flatnonzero(at)
+    three = points[at - 2] | points[at - 1] << np.uint64(21) | points[at] << np.uint64(42)
+    return mix(three ^ np.uint64(ENDING)), (np.cumsum(size)[np.repeat(np.arange(len(low)), size)] - 1)[at] == at
 
 
 def last_contexts(text: str, lines: bool, vocabulary: Vocabulary) -> tuple[list[int], str]:
-    """Keys of the contexts at the end of the text, and its last word."""
-    cut = text[-240:]
-    tokens = TOKEN.findall(cut)[1 if len(text) > 240 else 0 :]
-    if not lines:
-        tokens = [t for t in tokens if t != "\n"]
-    while tokens and tokens[-1][0] in FINAL + "\n":
-        tokens.pop()
+    """Keys of the contexts at the end of the text, and its last word. As much of the text is read as its last words take."""
+    reach = 240
+    while True:
+        tokens = TOKEN.findall(text[-reach:])[1 if len(text) > reach else 0 :]
+        if not lines:
+            tokens = [t for t in tokens if t != "\n"]
+        while tokens and tokens[-1][0] in FINAL + "\n":
+            tokens.pop()
+        if len(tokens) > 3 or reach >= len(text):
+            break
+        reach *= 8
     if not tokens:
         return [], ""
-    found, _ = contexts(vocabulary.numbers(["\n", *tokens]), vocabulary, 2 if lines else 1)
+    found, _ = contexts(vocabulary.numbers(["\n", "\n", *tokens]), vocabulary, 2 if lines else 1)
     last = tokens[-1] if len(tokens) < 2 or tokens[-2] != "#" else ""
-    own = np.array([ending_key(tokens[-1]), start_key(tokens[-1])], np.uint64)
-    return [*found[:, -1].view(np.int64).tolist(), *own.view(np.int64).tolist()], last
+    start = start_keys(tokens[-1:])[0][-1:]
+    ending = ending_keys(tokens[-1:])[0][-1:] if len(lowered(tokens[-1])) > 2 else start
+    return [*found[:, -1].view(np.int64).tolist(), *ending.view(np.int64).tolist(), *start.view(np.int64).tolist()], last
 
 
 def may_end(ends: list[int], seen: list[int], last: str, lines: bool, least: float) -> bool:
@@ -387,22 +476,31 @@ def may_end(ends: list[int], seen: list[int], last: str, lines: bool, least: flo
     return True
 
 
+def _wanted(bits: int, needed) -> tuple[np.ndarray, np.uint64]:
+    return np.unpackbits(np.frombuffer(needed.value, np.uint8)).astype(bool), np.uint64((1 << bits) - 1)
+
+
+def _counts(word: list[str | None], key: np.ndarray, ends: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(key.view(np.int64)), pa.array(ends.astype(np.int64)), pa.array(seen.astype(np.int64))], ["word", "key", "ends", "seen"])
+
+
 def _tally(bits: int, needed, line_categories: frozenset[str]):
+    """Sums of the wanted contexts and starts, with no word; and the capitalised words whose endings are wanted, with no sums."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(needed.value, np.uint8)).astype(bool)
-        mask = np.uint64((1 << bits) - 1)
-        vocabulary, words = Vocabulary(), set()
+        table, mask = _wanted(bits, needed)
+        vocabulary, said = Vocabulary(), set()
         for batch in batches:
             vocabulary = vocabulary.fresh()
             line = vocabulary.numbers(["\n"])[0]
-            sides: dict[int, list[int]] = {1: [line], 2: [line]}
+            sides: dict[int, list[int]] = {1: [line, line], 2: [line, line]}  # two between texts: none is a context of the next
             for text, category in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or is_code(category):
                     continue
                 lines = category in line_categories
                 n = vocabulary.numbers(TOKEN.findall(text.rstrip()))
                 sides[2 if lines else 1] += n if lines else [x for x in n if x != line]
-                sides[2 if lines else 1].append(line)
+                sides[2 if lines else 1] += [line, line]
             keys, hits = [], []
             for side, numbers in sides.items():
                 found, e = contexts(numbers, vocabulary, side)
@@ -410,21 +508,39 @@ def _tally(bits: int, needed, line_categories: frozenset[str]):
                     want = table[(row & mask).astype(np.int64)]
                     keys.append(row[want])
                     hits.append(e[want])
+            weights = [np.ones(len(x), np.int64) for x in keys]
             tokens, used = list(vocabulary.number), np.bincount(np.concatenate([np.asarray(x, np.int64) for x in sides.values()]), minlength=len(vocabulary.number))
-            starts = [(start_key(w[:j]), j == len(w), n) for w, n in zip(tokens, used.tolist()) if n and w[0].isalpha() for j in range(1, min(len(w), 24) + 1)]
-            fresh = [t for t in vocabulary.number if t[0].isupper() and len(t) > 3 and t not in words]
-            if len(words) < Vocabulary.LIMIT:
-                words.update(fresh)
-            parts = starts + [(ending_key(w[:j]), j == len(w), 1) for w in fresh for j in range(3, len(w) + 1)]
-            k = np.fromiter((x for x, _, _ in parts), np.uint64, len(parts))
-            want = table[(k & mask).astype(np.int64)] if len(k) else np.empty(0, bool)
-            n = np.fromiter((x for _, _, x in parts), np.int64, len(parts))[want]
-            weights = np.concatenate([*(np.ones(len(x), np.int64) for x in keys), n])
-            keys.append(k[want])
-            hits.append(np.fromiter((x for _, x, _ in parts), bool, len(parts))[want])
+            here = [k for k, w in enumerate(tokens) if used[k] and w[0].isalpha()]
+            starts, whole, owner = start_keys([tokens[k] for k in here])
+            want = table[(starts & mask).astype(np.int64)]
+            keys.append(starts[want])
+            hits.append(whole[want])
+            weights.append(used[here][owner[want]] if len(here) else np.empty(0, np.int64))
             every, which = np.unique(np.concatenate(keys), return_inverse=True)
-            e = np.concatenate(hits) * weights
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.bincount(which, weights=e, minlength=len(every)).astype(np.int64)), pa.array(np.bincount(which, weights=weights, minlength=len(every)).astype(np.int64))], ["key", "ends", "seen"])
+            w = np.concatenate(weights)
+            yield _counts([None] * len(every), every, np.bincount(which, weights=np.concatenate(hits) * w, minlength=len(every)), np.bincount(which, weights=w, minlength=len(every)))
+            names = [w for w in (tokens[k] for k in here) if w[0].isupper() and len(w) > 3 and w not in said]
+            names = [w for w in names if table[(ending_keys([w])[0] & mask).astype(np.int64)].any()]
+            said = said if len(said) < Vocabulary.LIMIT else set()  # only saves repeats
+            said.update(names)
+            none = np.zeros(len(names), np.int64)
+            yield _counts(names, none.view(np.uint64), none, none)
+
+    return run
+
+
+def _endings(bits: int, needed):
+    """Each word's wanted endings in place of the word; sums pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mask = _wanted(bits, needed)
+        for batch in batches:
+            word = batch.column(0)
+            yield batch.filter(word.is_null()).select(["key", "ends", "seen"])
+            keys, whole = ending_keys(word.drop_null().to_pylist())
+            want = table[(keys & mask).astype(np.int64)]
+            out = _counts([None] * int(want.sum()), keys[want], whole[want], np.ones(int(want.sum()), np.int64))
+            yield out.select(["key", "ends", "seen"])
 
     return run
 
@@ -471,6 +587,13 @@ def open_text(text: str) -> bool:
     return plain or bool(stack)
 
 
+def last_unit(text: str, lines: bool) -> str:
+    """The last line of a list, else the last sentence; a closed quotation with its frame is one."""
+    block = re.split(r"\n" if lines else r"\n\s*\n", text)[-1]
+    found = units(block, lines)
+    return block[found[-1][0] : found[-1][1]] if found else ""
+
+
 WIDTHLESS = re.compile("[\u00ad\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 #: Abbreviations after which no text ends.
 HANGING = frozenset("Mr. Mrs. Ms. Dr. Prof. St. e.g. i.e. approx. vs. Fig. pp. No. z. d. ca. vgl. Nr. env. aprox. Sr. Sra. MM.".split())
@@ -491,16 +614,14 @@ def judged(text: str | None, prompt: str, category: str | None, line_categories:
     if is_other_language(text, prompt):
         return "other_language", *none[1:]
     lines = category in line_categories
-    tail = text.rstrip()[-4000:]
-    shown = (tail if tail.isascii() else WIDTHLESS.sub("", tail)).rstrip()
-    if lines:
-        shown = shown.rsplit("\n", 1)[-1] if len(tail) == len(text.rstrip()) and "\n" not in shown else shown
+    shown = (text if text.isascii() else WIDTHLESS.sub("", text)).rstrip()
     core = shown.rstrip(CLOSING + " \u00a0\u3000")
+    last_part = re.split(r"\n" if lines else r"\n\s*\n|(?<=[.!?…。！？])[\"”»」)]*\s", shown)[-1]
     if core and core[-1] in FINAL:
-        return "truncated" if core.rsplit(None, 1)[-1] in HANGING else None, *none[1:]
+        cut = core.rsplit(None, 1)[-1] in HANGING or len(core) == len(shown) and open_text(last_part) and open_text(last_unit(shown, lines))
+        return "truncated" if cut else None, *none[1:]
     if core[-1:] in (",", ";", "、", "，", "،"):
         return "truncated", *none[1:]
-    last_part = re.split(r"\n" if lines else r"\n\s*\n|(?<=[.!?…。！？])[\"”»」)]*\s", shown)[-1]
     if open_text(last_part) and not open_text(last_part[1:] if last_part[:1] in "\"”»」)" else last_part + "x") or open_text(last_part) and not shown.endswith(tuple(CLOSING)):
         return "truncated", *none[1:]
     keys, last = last_contexts(core if core and core[-1] not in ",;:" else shown, lines, vocabulary)
@@ -575,7 +696,9 @@ def pair_defects(records: DataFrame, prompts: DataFrame, *, id_col: str = "sampl
     table = np.zeros(1 << bits, bool)
     table[slots] = True
     needed = records.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
-    counts = pairs.select("text", "category").mapInArrow(_tally(bits, needed, lines), "key long, ends long, seen long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
+    sums = [F.sum("ends").alias("ends"), F.sum("seen").alias("seen")]
+    tally = pairs.select("text", "category").mapInArrow(_tally(bits, needed, lines), "word string, key long, ends long, seen long").groupBy("word", "key").agg(*sums)
+    counts = tally.select("word", "key", "ends", "seen").mapInArrow(_endings(bits, needed), "key long, ends long, seen long").groupBy("key").agg(*sums)  # words are different ones by now
     answered = asked.join(counts, "key").groupBy("id").agg(F.first("last").alias("last"), F.first("lines").alias("lines"), F.collect_list("kind").alias("kinds"), F.collect_list("ends").alias("ends"), F.collect_list("seen").alias("seen"))
     broken = answered.select("id", "last", "lines", "kinds", "ends", "seen").mapInArrow(_broken(least), "id string, defect string")
     return PairDefects(first.where("defect is not null").select("id", "defect").unionByName(broken), pairs)
