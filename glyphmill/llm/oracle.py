@@ -29,6 +29,11 @@ P3_COVERAGE = f"""with f as ({P3}), c as (select sample_id, sum(span_end - span_
 select sample_id, chars, coalesce(shared_chars, 0)::bigint as shared_chars, round(coalesce(shared_chars, 0) / chars, 6) as shared_part from m left join c using (sample_id)"""
 
 
+P3_EXACT = """with t as (select distinct md5(text) as m, text from manifest where sample_id is not null and length(text) >= 200), s as (select m, i - 1 as place, md5(substring(text, i, 200)) as h from (select m, text, unnest(range(1, length(text) - 198)) as i from t)),
+p as (select a.m as md5_a, b.m as md5_b, a.place as pa, b.place as pb, a.place - row_number() over (partition by a.m, b.m, a.place - b.place order by a.place) as part from s a join s b on a.h = b.h and a.m < b.m)
+select md5_a, md5_b, min(pa)::bigint as a_start, (max(pa) + 200)::bigint as a_end, min(pb)::bigint as b_start, (max(pb) + 200)::bigint as b_end from p group by md5_a, md5_b, pa - pb, part"""
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -50,4 +55,4 @@ select a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.form =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p8_found": P8}
+    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p3_exact": P3_EXACT, "p8_found": P8}

@@ -63,11 +63,18 @@ def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact and fuzzy passages of pairs of different texts, each text by its hash."""
+    """Exact and fuzzy passages of pairs of different texts, each text by its hash, the smaller one first."""
     spans = p3_spans(spark, folder)
     name = spans.texts.select("rid", F.lower(F.hex("digest")).alias("md5"))
     p = spans.passages.join(name.withColumnsRenamed({"rid": "rid_a", "md5": "md5_a"}), "rid_a").join(name.withColumnsRenamed({"rid": "rid_b", "md5": "md5_b"}), "rid_b")
-    return p.select("md5_a", "md5_b", "a_start", "a_end", "b_start", "b_end", "exact")
+    turned = F.col("md5_a") > F.col("md5_b")
+    both = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("md5_a", "md5_b"), ("md5_b", "md5_a"), ("a_start", "b_start"), ("a_end", "b_end"), ("b_start", "a_start"), ("b_end", "a_end"))]
+    return p.select(*both, "exact")
+
+
+def p3_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact passages only: each longest run of a pair of texts."""
+    return p3_passages(spark, folder).where("exact").drop("exact")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,4 +116,4 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p3_exact": p3_exact, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

@@ -4,9 +4,14 @@ Seeds: of every ``length - k + 1`` k-mers in a row the one with the least hash,
 ``length`` characters holds a seed at the same place in both texts. Shared seeds of a pair of texts are
 chained in order, with gap costs, through a Fenwick tree; every seed ends up in one chain. Chains are
 aligned: each seed is stretched along its diagonal to the longest exact run, and a chain's whole reach is
-a fuzzy passage. Equal texts are one text here. Passages are of pairs of texts, so their number, and the
-work, grows with the square of the texts that share one. Stretches need no pairs: for them, around seeds that
-many texts share every span of ``length`` characters is compared by hash, in work linear in their places.
+a fuzzy passage. Equal texts are one text here.
+
+Which texts are paired: all that share a seed, as long as no more than ``hot`` texts hold it. The texts of
+a more frequent seed are a class; each is paired with the class's representative, and so it is with that of
+each span of ``length`` characters around such a seed that it shares. So the work is linear in the places
+of a frequent passage, any two of its texts are linked by one representative, and every exact span is found
+by a chain of its own. All pairs, however found, are chained at all seeds they share. A pair's texts travel
+only as far as its seeds reach: an exact run ends less than ``length`` characters beyond its outermost seed.
 """
 
 from __future__ import annotations
@@ -72,17 +77,21 @@ def text_seeds(text: str, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed(k: int, length: int):
+    """Each text's seeds: their different hashes, and the places of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rids, places, hashes = [], [], []
+            rids, hashes, places = [], [], []
             for text in batch.column(1).to_pylist():
                 at, h = text_seeds(text, k, length)
+                order = np.argsort(h, kind="stable")
+                different, first = np.unique(h[order], return_index=True)
                 rids.append(rid)
                 rid += 1
-                places.append(at)
-                hashes.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], ["rid", "digest", "text", "places", "hashes"])
+                hashes.append(different.view(np.int64))
+                places.append([x.tolist() for x in np.split(at[order], first[1:])])
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.list_(pa.int64())))], ["rid", "digest", "text", "hashes", "places"])
 
     return run
 
@@ -204,19 +213,17 @@ def align(a: str, b: str, anchors: list[tuple[int, int]], k: int, gap: float, le
     return out
 
 
-def _align(k: int, gap: float, length: int, lists: bool = False):
-    """``lists``: the places come as a list for each text and seed."""
+def _align(k: int, gap: float, length: int):
+    """``a`` and ``b`` are the parts of the texts from ``at_a`` and ``at_b`` on; the seeds' places are those in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x, y, places, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                seeds = None
-                if lists:
-                    seeds = {}
-                    for p in places:
-                        seeds |= crossed(p["pa"], p["pb"], k)
-                rows += [(x, y, *r) for r in align(a, b, sorted(seeds or {(p["pa"], p["pb"]) for p in places}), k, gap, length, seeds)]
+            for x, y, shared, at_a, at_b, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                seeds: dict[tuple[int, int], int] = {}
+                for p in shared:
+                    seeds |= crossed([v - at_a for v in p["pa"]], [v - at_b for v in p["pb"]], k)
+                rows += [(x, y, i + at_a, j + at_a, m + at_b, n + at_b, exact) for i, j, m, n, exact in align(a, b, sorted(seeds), k, gap, length, seeds)]
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.bool_())], ["rid_a", "rid_b", "a_start", "a_end", "b_start", "b_end", "exact"])
 
@@ -224,18 +231,18 @@ def _align(k: int, gap: float, length: int, lists: bool = False):
 
 
 def _around(k: int, length: int):
-    """All spans of ``length`` that hold a seed at one of the given places: (rid, start, hash)."""
+    """Hashes of all spans of ``length`` that hold a seed at one of the given places: (rid, rank, hash), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, rank, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 h = kmer_hashes(code_points(text), length)
                 mark = np.zeros(len(h) + 1, np.int64)
-                at = np.asarray(places, np.int64)
+                at = np.asarray([x for of in places for x in of], np.int64)
                 np.add.at(mark, np.maximum(0, at + k - length), 1)
                 np.add.at(mark, np.minimum(len(h), at + 1), -1)
-                starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), rid, np.int64)), pa.array(starts), pa.array(h[starts].view(np.int64))], ["rid", "start", "hash"])
+                found = np.unique(h[np.flatnonzero(np.cumsum(mark[:-1]) > 0)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid, np.int64)), pa.array(np.full(len(found), rank, np.int64)), pa.array(found.view(np.int64))], ["rid", "rank", "hash"])
 
     return run
 
@@ -251,20 +258,19 @@ def merged(intervals: DataFrame, key: str) -> DataFrame:
 @dataclass
 class SharedSpans:
     """``passages`` (rid_a, rid_b, a_start, a_end, b_start, b_end, exact) of pairs of different texts,
-    ``texts`` (rid, digest, chars), ``members`` (id, digest), ``hot`` (rid, start, end): exact spans around widely shared seeds,
-    ``near``: the passages around other seeds."""
+    ``classes`` (hash, rid, places, representative): the texts of each seed that more than ``hot`` texts hold,
+    ``texts`` (rid, digest, chars), ``members`` (id, digest)."""
 
     passages: DataFrame
-    near: DataFrame
+    classes: DataFrame
     texts: DataFrame
     members: DataFrame
-    hot: DataFrame
     length: int
 
     def stretches(self) -> DataFrame:
         """(id, start, end): longest stretches of each record that lie in exact spans shared with another record."""
-        p = self.near.where("exact").select(F.explode(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("a_start").alias("start"), F.col("a_end").alias("end")), F.struct(F.col("rid_b").alias("rid"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))).alias("x")).select("x.*")
-        of_texts = merged(p.unionByName(self.hot), "rid").join(self.texts, "rid").select("digest", "start", "end")
+        p = self.passages.where("exact").select(F.explode(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("a_start").alias("start"), F.col("a_end").alias("end")), F.struct(F.col("rid_b").alias("rid"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))).alias("x")).select("x.*")
+        of_texts = merged(p, "rid").join(self.texts, "rid").select("digest", "start", "end")
         copied = self.members.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         whole = self.texts.join(copied, "digest").select("digest", F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"))
         parts = of_texts.join(copied, "digest", "left_anti").unionByName(whole)
@@ -277,40 +283,61 @@ class SharedSpans:
         return rows.select("id", "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), (F.coalesce("shared_chars", F.lit(0)) / F.col("chars")).alias("shared_part"))
 
 
+def _both_ways(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    return pairs.where(F.col(one) != F.col(other)).select(F.least(one, other).alias("rid_a"), F.greatest(one, other).alias("rid_b"))
+
+
 def shared_spans(records: DataFrame, id_col: str, text_col: str, *, length: int = 200, k: int = 64, hot: int = 64, gap: float = 0.05) -> SharedSpans:
     """Passages of ``length`` or more characters that stand in more than one record.
 
     Rows that repeat an id with the same text are one record. Records with a null id or text, or with fewer
-    than ``length`` characters, share nothing. Repeats within one record don't count. For stretches, seeds at
-    more than ``hot`` places take the linear way described above; passages are chained at all shared seeds.
+    than ``length`` characters, share nothing. Repeats within one record don't count. An empty table gives
+    empty results, other columns are ignored. The texts of a seed that more than ``hot`` texts hold are
+    linked by representatives, the others directly; stretches and coverage are the same for any ``hot``.
     """
     if not 1 <= k <= length < BLOCK:
         raise ValueError("1 <= k <= length is needed")
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(f"id is not null and length(text) >= {length}").withColumn("digest", F.unhex(F.md5("text")))
     members = rows.select("id", "digest").distinct()
     texts = rows.select("digest", "text").dropDuplicates(["digest"])
-    table = materialise(texts.select("digest", "text").mapInArrow(_seed(k, length), "rid long, digest binary, text string, places array<long>, hashes array<long>"), "seeds")
-    seeds = table.select("rid", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select("rid", F.col("s.places").alias("place"), F.col("s.hashes").alias("hash"))
-    tally = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("hash", "n")
-    known = seeds.join(tally, "hash")
-    few = known.where(f"n <= {hot}").select("hash", "rid", "place")
-    t = table.select("rid", "text")
-
-    def aligned(at: DataFrame, place: str, lists: bool) -> DataFrame:
-        pairs = (
-            at.select("hash", F.col("rid").alias("rid_a"), F.col(place).alias("pa"))
-            .join(at.select("hash", F.col("rid").alias("rid_b"), F.col(place).alias("pb")), "hash")
-            .where("rid_a < rid_b")
+    table = materialise(texts.select("digest", "text").mapInArrow(_seed(k, length), "rid long, digest binary, text string, hashes array<long>, places array<array<long>>"), "seeds")
+    # the order of representatives doesn't depend on the layout
+    seeds = table.select("rid", F.xxhash64("digest").alias("rank"), F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("rid", "rank", F.col("s.hashes").alias("hash"), F.col("s.places").alias("places"))
+    tally = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", "rank").alias("representative")).where("n > 1")
+    known = materialise(seeds.join(tally, "hash"), "shared")
+    frequent = known.where(f"n > {hot}").select("hash", "rid", "rank", "places", "representative")
+    few = known.where(f"n <= {hot}").select("hash", "rid", "places")
+    seed = F.struct("pa", "pb")
+    shared = (
+        few.select("hash", F.col("rid").alias("rid_a"), F.col("places").alias("pa"))
+        .join(few.select("hash", F.col("rid").alias("rid_b"), F.col("places").alias("pb")), "hash")
+        .where("rid_a < rid_b")
+        .groupBy("rid_a", "rid_b")
+        .agg(F.collect_list(seed).alias("seeds"))
+    )
+    if frequent.limit(1).count():
+        near = materialise(shared, "near")
+        by_rid = frequent.groupBy("rid", "rank").agg(F.collect_list("places").alias("places"))
+        spans = by_rid.join(table.select("rid", "text"), "rid").select("rid", "rank", "text", "places").mapInArrow(_around(k, length), "rid long, rank long, hash long")
+        of_span = spans.groupBy("hash").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min_by("rid", "rank").alias("representative")).where("lo < hi").select("hash", "representative")
+        linked = _both_ways(frequent, "rid", "representative").unionByName(_both_ways(spans.join(of_span, "hash"), "rid", "representative"))
+        pairs = near.select("rid_a", "rid_b").unionByName(linked).distinct()
+        places = frequent.select("hash", "rid", "places")
+        also = (
+            pairs.join(places.select(F.col("rid").alias("rid_a"), "hash", F.col("places").alias("pa")), "rid_a")
+            .join(places.select(F.col("rid").alias("rid_b"), "hash", F.col("places").alias("pb")), ["rid_b", "hash"])
             .groupBy("rid_a", "rid_b")
-            .agg(F.collect_list(F.struct("pa", "pb")).alias("places"))
+            .agg(F.collect_list(seed).alias("seeds"))
         )
-        both = pairs.join(t.select(F.col("rid").alias("rid_a"), F.col("text").alias("a")), "rid_a").join(t.select(F.col("rid").alias("rid_b"), F.col("text").alias("b")), "rid_b")
-        return both.select("rid_a", "rid_b", "places", "a", "b").mapInArrow(_align(k, gap, length, lists), "rid_a long, rid_b long, a_start long, a_end long, b_start long, b_end long, exact boolean")
-
-    passages = aligned(known.groupBy("hash", "rid").agg(F.collect_list("place").alias("places")), "places", True)
-    near = aligned(few, "place", False)
-    many = known.where(f"n > {hot}").groupBy("rid").agg(F.collect_set("place").alias("places")).join(t, "rid").select("rid", "text", "places")
-    spans = many.mapInArrow(_around(k, length), "rid long, start long, hash long")
-    shared = spans.groupBy("hash").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("hash")
-    hot_spans = spans.join(shared, "hash", "left_semi").select("rid", "start", (F.col("start") + length).alias("end"))
-    return SharedSpans(passages, near, table.select("rid", "digest", F.length("text").cast("long").alias("chars")), members, hot_spans, length)
+        shared = near.unionByName(also).groupBy("rid_a", "rid_b").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
+
+    def part(pairs: DataFrame, side: str) -> DataFrame:
+        """With the part of the text that the pair's seeds reach, and where it begins."""
+        all_places = F.flatten(F.col(f"seeds.p{side}"))
+        text = table.select(F.col("rid").alias(f"rid_{side}"), F.col("text").alias("_text"))
+        begun = pairs.withColumn(f"at_{side}", F.greatest(F.array_min(all_places) - length, F.lit(0))).withColumn("_end", F.array_max(all_places) + k + length)
+        return begun.join(text, f"rid_{side}").withColumn(side, F.substr("_text", F.col(f"at_{side}").cast("int") + 1, (F.col("_end") - F.col(f"at_{side}")).cast("int"))).drop("_text", "_end")
+
+    both = part(part(shared, "a"), "b").select("rid_a", "rid_b", "seeds", "at_a", "at_b", "a", "b")
+    passages = both.mapInArrow(_align(k, gap, length), "rid_a long, rid_b long, a_start long, a_end long, b_start long, b_end long, exact boolean")
+    return SharedSpans(passages, frequent.drop("rank"), table.select("rid", "digest", F.length("text").cast("long").alias("chars")), members, length)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm.spans import align, chain, crossed, kmer_hashes, shared_spans, text_seeds, code_points
 
@@ -73,14 +74,37 @@ def test_two_spans_on_one_diagonal_the_later_longer():
     assert {r for r in found if r[4]} == {(0, 250, 0, 250, True), (3252, 4252, 3252, 4252, True)}
 
 
-def test_passages_of_widely_shared_seeds(spark):
+@pytest.mark.parametrize("n", [64, 65, 500])
+def test_any_two_texts_with_a_passage_are_linked(spark, n):
+    """Directly, or by one text with which both have the passage: exact on either side of an edit, and fuzzy over it."""
     rng = random.Random(7)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    left, right = make(60), make(70)
-    rows = [(f"r{k}", make(30) + left + "XYZUVW"[k] + right) for k in range(6)]
-    found = shared_spans(spark.createDataFrame(rows, "id string, text string"), "id", "text", length=25, k=8, hot=3).passages.collect()
-    for exact, start, end in ((True, 30, 90), (True, 91, 161), (False, 30, 161)):
-        assert len({(r.rid_a, r.rid_b) for r in found if r.exact == exact and r.a_start <= start and r.a_end >= end}) == 15
+    left, right = make(260), make(270)
+    rows = [(f"r{k}", make(30) + left + chr(0x4E00 + k) + right + make(20)) for k in range(n)]
+    spans = shared_spans(spark.createDataFrame(rows, "id string, text string"), "id", "text")
+    found = spans.passages.collect()
+    assert len(found) < 70 * n * 3
+    for exact, start, end in ((True, 30, 290), (True, 291, 561), (False, 30, 561)):
+        pairs = {(r.rid_a, r.rid_b) for r in found if r.exact == exact and r.a_start <= start and r.a_end >= end}
+        beside = {}
+        for a, b in pairs:
+            beside.setdefault(a, {a}).add(b)
+            beside.setdefault(b, {b}).add(a)
+        assert len(beside) == n and (len(pairs) == n * (n - 1) // 2 if n <= 64 else any(len(x) == n for x in beside.values()))
+    if n > 64:
+        classes = {(r.n, r.one) for r in spans.classes.groupBy("hash").agg(F.count("*").alias("n"), F.count_distinct("representative").alias("one")).collect()}
+        assert (n, 1) in classes and {one for _, one in classes} == {1}
+    assert {tuple(r)[1:] for r in spans.stretches().collect()} <= {(a, b) for a in range(24, 31) for b in range(561, 568)} | {(a, b) for a in range(24, 31) for b in range(290, 291)} | {(a, b) for a in range(291, 292) for b in range(561, 568)}
+
+
+def test_spans_of_frequent_seeds_that_their_representative_lacks(spark):
+    """All texts hold the same 64 letters, some of them longer spans around these: pairs come from the spans."""
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, wide = make(64), [make(150) for _ in range(4)]
+    rows = [(f"r{k}", make(200) + (wide[k % 4] if k % 5 else make(150)) + core + make(200)) for k in range(90)]
+    got = {tuple(r) for hot in (3, 1000) for r in shared_spans(spark.createDataFrame(rows, "id string, text string"), "id", "text", hot=hot).stretches().collect()}
+    assert got == brute(rows, 200) and len(got) == 72
 
 
 @pytest.mark.parametrize("unit", ["=", "ab", "-+--="])
