@@ -104,9 +104,7 @@ def bucket_totals(spark, folder):
 
 @query(f"with {_PLACED}, {_MIXED} select doc_id, ch, mixed, (select count(*) from placed p where p.doc_id = mixed.doc_id and p.ch = mixed.ch) as total from mixed")
 def mixed_script(spark, folder):
-    d = docs(spark, folder)
-    totals = scan.inventory(d, "doc_id", "text", "[" + "".join(D.HOMOGLYPHS) + "]").select("id", "ch", F.col("n").alias("total"))
-    return scan.mixed_script(d, "doc_id", "text").join(totals, ["id", "ch"]).select(F.col("id").alias("doc_id"), "ch", "mixed", "total")
+    return scan.mixed_script(docs(spark, folder), "doc_id", "text").select(F.col("id").alias("doc_id"), "ch", "mixed", F.col("n").alias("total"))
 
 
 _FLAG_SQL = ", ".join(f"coalesce(list_contains(b, {D.q(v)}), false) as {k}" for k, v in scan.FLAGS.items())

@@ -13,10 +13,10 @@ def chars(spec):
 
 
 FIXTURES = {
-    **{f"invisible_{cp:04X}": f"The audit text continues{chr(cp)} with a hidden character.\n" for cp in sorted(INVISIBLE)},
+    **{f"invisible_{cp:04X}": f"A bridge of stone{chr(cp)} over the mill stream.\n" for cp in sorted(INVISIBLE)},
     "bom": chars("FEFF") + "leading",
     "bidi": "x".join(map(chr, sorted(BIDI))),
-    "tags": "visible\n" + chars("E0001") + "".join(chr(0xE0000 + ord(c)) for c in "HIDDEN WATERMARK") + chars("E007F") + "\nvisible\n",
+    "tags": "visible\n" + chars("E0001") + "".join(chr(0xE0000 + ord(c)) for c in "seven blue doors") + chars("E007F") + "\nvisible\n",
     "selectors": chars("2714 FE0F") + " a" + chars("E0100") + " " + chars("2764 FE0E"),
     "combining": "e" + chars("301") + " a" + chars("308") + " x" + chars("20DD") + " " + chars("915 93E"),
     "homoglyphs": f"p{chars('430')}yp{chars('430')}l s{chars('43E')}me b{chars('3BF')}dy ha{chars('3BD')}e " + chars("43F 440 438 432 435 442"),
@@ -48,13 +48,13 @@ def test_invisible_characters(reports):
         r = reports[f"invisible_{cp:04X}"]
         assert set(found(r, "invisible_zero_width")) == {cp} and not r.buckets["typographic"]
         assert r.summary.has_invisible_characters and r.summary.any_suspicious
-        assert f"continues[[U+{cp:04X}]] with" in found(r, "invisible_zero_width")[cp]["contexts"][0]
+        assert f"stone[[U+{cp:04X}]] over" in found(r, "invisible_zero_width")[cp]["contexts"][0]
     assert "Leading U+FEFF byte-order mark present." in reports["bom"].notes
 
 
 def test_bidi_tags_selectors_marks(reports):
     assert set(found(reports["bidi"], "bidi_controls")) == set(BIDI)
-    assert list(reports["tags"].hidden_tag_payloads) == ["[TAG-LANG]HIDDEN WATERMARK[TAG-END]"]
+    assert list(reports["tags"].hidden_tag_payloads) == ["[TAG-LANG]seven blue doors[TAG-END]"]
     assert set(found(reports["selectors"], "variation_selectors")) == {0xFE0F, 0xFE0E, 0xE0100} and not reports["selectors"].buckets["combining_marks"]
     assert {e["category"] for e in reports["combining"].buckets["combining_marks"]} == {"Mn", "Mc", "Me"}
 
@@ -100,6 +100,22 @@ def test_rates_keep_zeros_and_empty_tables(spark):
 
 def test_unassigned_and_private_code_points(spark):
     df = spark.createDataFrame([(1, chr(0xE000) + chr(0x378))], "id int, text string")
-    got = {r.cp: (r.bucket, r.rate_bucket, r.category) for r in scan.entries(df, "id", "text").collect()}
-    assert got == {0xE000: ("control_characters", "unexpected_control", "Co"), 0x378: ("other_non_ascii", "other_nonascii", "Cn")}
+    got = {r.cp: (r.bucket, r.category) for r in scan.entries(df, "id", "text").collect()}
+    assert got == {0xE000: ("control_characters", "Co"), 0x378: ("other_non_ascii", "Cn")}
+    one = scan.file_flags(df, "id", "text").first()
+    assert one.flagged == {"unexpected_control": 1, "other_nonascii": 1} and (one.chars, one.bytes, one.pure_ascii) == (2, 5, False)
     assert unicodedata.unidata_version
+
+
+def test_rows_stay_rows(spark):
+    """Nulls, repeats, clashing names, long texts: one row out for each in, entries in the order of code points, no shuffle."""
+    rows = [(1, "b\u200ba", "x"), (1, "b\u200ba", "x"), (2, None, "y"), (3, "", "z"), (4, "é\u200b" * 700_000, "w")]
+    df = spark.createDataFrame(rows, "id int, text string, found string").drop("found")
+    got = scan.with_found(df, "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = got.collect()
+    assert len(found) == 5 and [[e.cp for e in r.found] for r in found[:4]] == [[0x61, 0x62, 0x200B]] * 2 + [[], []]
+    assert [(e.n, len(e.positions)) for e in found[4].found] == [(700_000, 200)] * 2
+    totals = {(r.id, r.bucket): (r.distinct, r.occurrences) for r in scan.bucket_totals(df.where("id = 4"), "id", "text").collect()}
+    assert totals == {(4, "invisible_zero_width"): (1, 700_000), (4, "typographic"): (1, 700_000)}
+    assert scan.reports(df.select("id", df.text.cast("binary").alias("content")).limit(0), "id", "content").count() == 0
