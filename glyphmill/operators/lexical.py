@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import DataType, IntegerType, LongType
 
 from glyphmill.functions import text as T
 from glyphmill.functions.stats import describe, rate_columns, two_proportion_z
-from glyphmill.operators.ordered import running_total
+from glyphmill.operators.ordered import OWN, beside, neighbours, running_total
+from glyphmill.storage import materialise
 
 PROSE = ("factual_prose", "informal_social", "technical_explanation", "ascii_only", "accented", "quoted_speech", "repeat_of_S01", "repeat_of_M01", "repeat_of_L01")
 NOT_PROSE = ("list", "source_code", "json_schema")
@@ -50,11 +57,12 @@ def top_words(docs: DataFrame, group: Column, order_col: str, k: int = 25, text_
 
 def _distinctive(grams: DataFrame, least: int, k: int) -> DataFrame:
     """Of (grp, gram, n, first): the grams whose rate exceeds its mean rate in the other groups most; ties by first occurrence."""
+    grams = materialise(grams, "grams")
     totals = grams.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     groups = totals.agg(F.count(F.lit(1)).alias("groups"))
-    rated = grams.join(F.broadcast(totals), "grp").withColumn("rate", F.col("n") / F.col("total"))
-    sums = rated.groupBy("gram").agg(F.sum("rate").alias("all_rates"))
-    rows = rated.where(F.col("n") >= least).join(sums, "gram").crossJoin(F.broadcast(groups))
+    rated = grams.join(totals, "grp").withColumn("rate", F.col("n") / F.col("total"))  # Spark broadcasts the groups while they are few
+    rated = rated.withColumn("all_rates", F.sum("rate").over(Window.partitionBy("gram")))
+    rows = rated.where(F.col("n") >= least).crossJoin(F.broadcast(groups))
     others = F.coalesce(F.try_divide(F.col("all_rates") - F.col("rate"), F.col("groups") - 1), F.lit(0.0))
     rows = rows.withColumn("excess", F.round(F.col("rate") - others, 12))
     order = Window.partitionBy("grp").orderBy(F.desc("excess"), "first")
@@ -62,22 +70,16 @@ def _distinctive(grams: DataFrame, least: int, k: int) -> DataFrame:
     return best.select("grp", "place", "gram", "n", F.col("total").alias("total_ngrams"), F.col("distinct").alias("distinct_ngrams"), F.round(F.col("rate") * 1000, 6).alias("rate_per_1000"), F.round(F.col("excess") * 1000, 6).alias("excess_per_1000"))
 
 
-def _counted(each: DataFrame, pack: bool) -> DataFrame:
-    """Counts and first places. With ``pack`` places of whole numbers are packed into one decimal, which a hash aggregate can keep; others need a sort."""
-    doc = each.schema["first"].dataType["doc"].dataType
-    if pack and isinstance(doc, (IntegerType, LongType)):
-        place = F.col("first.doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("first.k").cast("decimal(10,0)")
-        return each.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    return each.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+def _first(doc: str, k: str, kind: DataType) -> Column:
+    """A place (document, number) to take the least of. Those of whole numbers are packed into one decimal, which a hash aggregate can keep; others need a sort."""
+    if isinstance(kind, (IntegerType, LongType)):
+        return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(k).cast("decimal(10,0)")
+    return F.struct(doc, k)
 
 
-def _next_heads(ends: DataFrame, n: int) -> DataFrame:
-    """``ends`` (grp, doc, head, ...) with the heads of the next n documents of the group, h1 to hn: only heads travel."""
-    numbered = running_total(ends, ["grp"], ["doc"], F.lit(1), "at")
-    heads = numbered.select("grp", F.col("at").alias("_at"), "head")
-    for k in range(1, n + 1):
-        numbered = numbered.join(heads.select("grp", (F.col("_at") - k).alias("at"), F.col("head").alias(f"h{k}")), ["grp", "at"], "left")
-    return numbered
+def _following(n: int) -> list[Column]:
+    """The heads of the next n documents, within the blocks of ``ordered.neighbours``."""
+    return [F.lead("head", k).over(beside()) for k in range(1, n + 1)]
 
 
 def word_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col: str = "text") -> DataFrame:
@@ -91,55 +93,136 @@ def word_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col
     each = inner.select("grp", "gram", F.struct("doc", "k").alias("first"))
     if n > 1:
         ends = rows.select("grp", "doc", F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(F.size("w") - (n - 2), F.lit(1)), n - 1).alias("tail"), F.size("w").alias("size"))
-        seams = _next_heads(ends, n - 1)
-        joined = F.concat("tail", F.slice(F.flatten(F.array(*(F.coalesce(f"h{k}", F.array().cast("array<string>")) for k in range(1, n)))), 1, n - 1))
-        seams = seams.select("grp", "doc", "size", F.size("tail").alias("own"), joined.alias("w")).where(F.size("w") >= n)
+        numbered = running_total(ends, ["grp"], ["doc"], F.lit(1), "at")
+        none = F.array().cast("array<string>")
+        joined = F.concat("tail", F.slice(F.concat(*(F.coalesce(h, none) for h in _following(n - 1))), 1, n - 1))
+        seams = neighbours(numbered, n).withColumn("w", joined).where(OWN)
+        seams = seams.select("grp", "doc", "size", F.size("tail").alias("own"), "w").where(F.size("w") >= n)
         over = seams.select("grp", "doc", "size", "own", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.col("own"), F.size("w") - (n - 1))), lambda k: gram(F.col("w"), k))).alias("k", "gram"))
         each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
-    return _counted(each, pack=False)
+    kind = each.schema["first"].dataType["doc"].dataType
+    return each.select("grp", "gram", "first.doc", "first.k").groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("n"), F.min(_first("doc", "k", kind)).alias("first"))
+
 
+#: Characters counted at once; a longer text is cut into overlapping pieces.
+BLOCK = 1 << 21
 
-def _pieces(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """``keep`` with (k, gram): all n characters in a row of the text ``t``. Neighbours are zipped, not looked up by place."""
-    chars = rows.where(F.length("t") >= n).select(*keep, T.characters(F.col("t")).alias("c"))
-    if n == 1:
-        return chars.select(*keep, F.posexplode("c").alias("k", "gram"))
-    shifted = [F.slice("c", F.lit(j + 1), F.size("c") - (n - 1)).alias(f"c{j}") for j in range(n)]
-    zipped = chars.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("k", "z"))
-    return zipped.select(*keep, "k", F.concat(*(F.col(f"z.c{j}") for j in range(n))).alias("gram"))
+
+def _count_block(texts: list[str], n: int, place: np.ndarray, most: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different grams of some texts, how often each is there, and the number of its first start among all characters.
+
+    Only starts whose place in their text is below ``most`` count.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    starts = np.flatnonzero((left >= n) & (place < most[row]))
+    there = np.zeros(sys.maxunicode + 1, bool)
+    there[points] = True
+    code = (np.cumsum(there) - 1)[points]
+    bits = max(1, int(there.sum() - 1).bit_length())
+    if bits * n <= 63:
+        key = code[starts]
+        for j in range(1, n):
+            key = key << bits | code[starts + j]
+    else:
+        key = np.unique(np.stack([code[starts + j] for j in range(n)]), axis=1, return_inverse=True)[1].ravel()
+    number, different = pd.factorize(key)
+    count = np.bincount(number, minlength=len(different))
+    first = np.empty(len(different), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]  # of equals the first is written last
+    at = starts[first]
+    whole = points[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[k : k + n] for k in range(0, len(whole), n)], count, at
+
+
+def _count_grams(n: int):
+    """Of batches (grp, doc, at, most, t): (grp, gram, n, doc, k), grams counted and first places found for each batch and group."""
+
+    def run(batches):
+        for batch in batches:
+            order = pc.sort_indices(batch, sort_keys=[("grp", "ascending"), ("doc", "ascending"), ("at", "ascending")])
+            batch = batch.take(order)
+            groups, docs, offsets, mosts, texts = (c.to_pylist() for c in batch.columns)
+            start = 0
+            while start < len(texts):
+                pieces, size, k, shift = [], 0, start, 0
+                while k < len(texts) and groups[k] == groups[start] and size < BLOCK:
+                    piece = texts[k][shift : shift + BLOCK]
+                    pieces.append((k, shift, piece))
+                    size += len(piece)
+                    if shift + BLOCK < len(texts[k]):  # a longer text gives several blocks of its own
+                        yield from _block(batch, pieces, offsets, mosts, n)
+                        pieces, size = [], 0
+                        shift += BLOCK - n + 1
+                    else:
+                        k, shift = k + 1, 0
+                yield from _block(batch, pieces, offsets, mosts, n)
+                start = k
+
+    def _block(batch, pieces, offsets, mosts, n):
+        if not pieces:
+            return
+        rows = np.array([k for k, _, _ in pieces])
+        texts = [t for _, _, t in pieces]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        shifts = np.array([s for _, s, _ in pieces])
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(shifts, sizes)
+        grams, count, at = _count_block(texts, n, place, np.array([mosts[k] for k in rows], np.int64))
+        which = np.searchsorted(np.cumsum(sizes), at, side="right")
+        took = pa.array(rows[which])
+        k = place[at] + np.array([offsets[k] for k in rows], np.int64)[which]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(took), pa.array(grams, pa.string()), pa.array(count), batch.column(1).take(took), pa.array(k)], ["grp", "gram", "n", "doc", "k"])
+
+    return run
+
+
+def counted_grams(rows: DataFrame, n: int) -> DataFrame:
+    """Of (grp, doc, at, most, t): (grp, gram, n, first) of all n characters in a row of the texts ``t`` that begin below ``most``; a text's places begin at ``at``.
+
+    Grams are counted in each batch before they are shuffled.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    each = rows.select("grp", "doc", F.col("at").cast("long").alias("at"), F.col("most").cast("long").alias("most"), "t").where(F.length("t") >= n)
+    counted = each.mapInArrow(_count_grams(n), f"grp {kinds['grp']}, gram string, n long, doc {kinds['doc']}, k long")
+    return counted.groupBy("grp", "gram").agg(F.sum("n").alias("n"), F.min(_first("doc", "k", rows.schema["doc"].dataType)).alias("first"))
 
 
 def char_ngrams(docs: DataFrame, group: Column, order_col: str, n: int, text_col: str = "text") -> DataFrame:
     """(grp, gram, n, first): n characters in a row of a group's joined texts in normal form.
 
-    Texts are joined at the seams only: a blank at a text's start goes if the text before ends with one or if
-    there is none before; a blank at the very end goes. First and last characters tell this, so whole texts
-    stay where they are; only those with a blank at an end meet what was found out about them.
+    Texts meet at the seams only, where one blank is left of those that meet, and none at a group's start and
+    end. First and last characters tell this, so whole texts stay where they are, but for those with a blank at an end.
     """
     rows = grouped(docs, group, text_col, F.col(order_col).alias("doc")).select("grp", "doc", F.regexp_replace(F.lower("text"), rf"{T.SPACE}+", " ").alias("t")).where("t <> ''")
-    ends = rows.select("grp", "doc", F.substring("t", 1, n).alias("head"), F.when(F.length("t") <= n, F.col("t")).otherwise(F.substring("t", -n, n)).alias("tail"), F.length("t").alias("size"))
-    numbered = running_total(ends, ["grp"], ["doc"], F.lit(1), "at")
-    before = numbered.select("grp", (F.col("at") + 1).alias("at"), F.substring("tail", -1, 1).alias("_before"))
-    seen = numbered.join(before, ["grp", "at"], "left").withColumn("lead", ((F.coalesce("_before", F.lit(" ")) == " ") & F.startswith("head", F.lit(" "))).cast("int"))
-    kept = seen.where("size > lead").drop("at", "_before")
-    last = kept.groupBy("grp").agg(F.max("doc").alias("doc")).withColumn("_last", F.lit(True))
-    kept = kept.join(last, ["grp", "doc"], "left").withColumn("trail", (F.coalesce("_last", F.lit(False)) & F.endswith("tail", F.lit(" "))).cast("int")).drop("_last").where("size > lead + trail")
-    blank_ends = F.startswith("t", F.lit(" ")) | F.endswith("t", F.lit(" "))
-    odd = rows.where(blank_ends).join(kept.select("grp", "doc", "lead", "trail"), ["grp", "doc"]).select("grp", "doc", F.substring(F.col("t"), F.col("lead") + 1, F.length("t") - F.col("lead") - F.col("trail")).alias("t"))
-    whole = rows.where(~blank_ends).unionByName(odd)
-    each = _pieces(whole, ["grp", "doc"], n).select("grp", "gram", F.struct("doc", "k").alias("first"))
+    blank = F.lit(" ")
+    starts, closes = F.startswith("t", blank), F.endswith("t", blank)
+    ends = rows.select("grp", "doc", F.substring("t", 1, n + 1).alias("head"), F.substring(F.concat(F.lit(" " * n), "t"), -n - 1, n + 1).alias("tail"), F.length("t").alias("size"), (F.col("t") == blank).alias("void"), starts.alias("starts"), closes.alias("closes"))
+    placed = running_total(materialise(ends, "ends"), ["grp"], ["doc"], (~F.col("void")).cast("int"), "at")  # texts are read once for it
+    voids = placed.where("void").groupBy("grp", "at").agg(F.min("doc").alias("between"))  # blank texts, the first before each other text
+    full = placed.where("not void").drop("void").join(voids, ["grp", "at"], "left")
+    # of the blanks that meet, the first is kept
+    before = F.lag("closes").over(beside())
+    full = neighbours(full, n + 1).withColumn("lead", (F.col("starts") & (before.isNull() | before | F.col("between").isNotNull())).cast("int"))
+    full = full.withColumn("filler", F.when(before.isNotNull() & ~before, F.col("between"))).withColumn("trail", (F.col("closes") & F.lead("at").over(beside()).isNull()).cast("int"))
+    size = F.col("size") - F.col("lead") - F.col("trail")
+    filled = F.when(F.col("filler").isNotNull(), " ").otherwise("")
+    own = F.substring(F.col("head"), F.col("lead") + 1, F.least(size, F.lit(n)))
+    full = full.withColumn("own_head", own).withColumn("head", F.concat(filled, own)).withColumn("left", size)
+    after = F.concat(F.lit(""), *(F.coalesce(h, F.lit("")) for h in _following(n - 1)))
+    full = full.withColumn("after", F.substring(after, 1, n - 1)).where(OWN)
+    seams = materialise(full.select("grp", "doc", "starts", "closes", "lead", "trail", "filler", "own_head", "after", "left", "tail"), "seams")
+    odd = rows.where(starts | closes).join(seams.where("starts or closes").select("grp", "doc", "lead", "left"), ["grp", "doc"]).select("grp", "doc", F.substring(F.col("t"), F.col("lead") + 1, F.col("left")).alias("t"))
+    whole = rows.where(~(starts | closes)).unionByName(odd)
+    texts = whole.select("grp", "doc", F.lit(0).alias("at"), F.lit(1 << 62).alias("most"), "t")
+    fillers = seams.where("filler is not null").select("grp", F.col("filler").alias("doc"), F.lit(0).alias("at"), F.lit(1).alias("most"), F.substring(F.concat(blank, "own_head", "after"), 1, n).alias("t"))
     if n > 1:
-        size = F.col("size") - F.col("lead") - F.col("trail")
-        # of what is left of a text, the first and last n-1 characters; both ends hold n, so a blank less still leaves them
-        head = F.substring(F.substring("head", F.col("lead") + 1, F.least(size, F.lit(n))), 1, n - 1)
-        rest = F.substring("tail", F.lit(1), F.length("tail") - F.col("trail"))
-        tail = F.substring(rest, F.greatest(F.length(rest) - F.least(size, F.lit(n - 1)), F.lit(0)) + 1, F.lit(n))
-        seams = _next_heads(kept.select("grp", "doc", head.alias("head"), tail.alias("tail"), size.alias("size")), n - 1)
-        joined = F.concat("tail", F.substring(F.concat(*(F.coalesce(f"h{k}", F.lit("")) for k in range(1, n))), 1, n - 1))
-        seams = seams.select("grp", "doc", "size", F.length("tail").alias("own"), joined.alias("t")).where(F.length("t") >= n)
-        over = _pieces(seams, ["grp", "doc", "size", "own"], n).where("k < own")
-        each = each.unionByName(over.select("grp", "gram", F.struct("doc", (F.col("size") - F.col("own") + F.col("k")).alias("k")).alias("first")))
-    return _counted(each, pack=True)
+        taken = F.least(F.col("left"), F.lit(n - 1))
+        tail = F.substring(F.col("tail"), F.lit(n + 2) - F.col("trail") - taken, taken)
+        over = seams.select("grp", "doc", (F.col("left") - taken).alias("at"), taken.alias("most"), F.concat(tail, "after").alias("t"))
+        texts = texts.unionByName(over)
+    return counted_grams(texts.unionByName(fillers), n)
 
 
 def distinctive_words(docs: DataFrame, group: Column, order_col: str, n: int, k: int = 12, text_col: str = "text") -> DataFrame:
@@ -185,7 +268,7 @@ def sentence_statistics(docs: DataFrame, group: Column, order_col: str, text_col
 def entropy(docs: DataFrame, group: Column, text_col: str = "text") -> DataFrame:
     """(grp, chars, bits_per_char): Shannon entropy of a group's characters; 0 for no characters."""
     rows = grouped(docs, group, text_col)
-    counted = rows.select("grp", F.explode(T.characters(F.col("text"))).alias("ch")).groupBy("grp", "ch").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted_grams(rows.select("grp", F.lit(0).alias("doc"), F.lit(0).alias("at"), F.lit(1 << 62).alias("most"), F.col("text").alias("t")), 1)
     bits = counted.groupBy("grp").agg(F.sum("n").alias("chars"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     every = rows.select("grp").distinct().join(bits, "grp", "left")
     return every.select("grp", F.coalesce("chars", F.lit(0)).alias("chars"), F.round(F.coalesce(F.log2("chars") - F.col("s") / F.col("chars"), F.lit(0.0)), 6).alias("bits_per_char"))
@@ -201,10 +284,12 @@ def vocabulary(docs: DataFrame, group: Column, text_col: str = "text") -> DataFr
 
 def matched_vocabulary(docs: DataFrame, group: Column, order_col: str, counts_for_size: Column, text_col: str = "text") -> DataFrame:
     """(grp, n_words_used, vocab_size, ttr) of each group's first N words; N is the least size of the groups of ``counts_for_size``."""
-    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc"), counts_for_size.alias("counts")).withColumn("words", T.words(F.col("text"))).select("grp", "doc", "counts", "words").where(F.size("words") > 0)
-    placed = running_total(rows, ["grp"], ["doc"], F.size("words"), "before")
-    least = placed.where("counts").groupBy("grp").agg(F.sum(F.size("words")).alias("n")).agg(F.min("n").alias("least"))
-    first = placed.crossJoin(F.broadcast(least)).where("before < least").select("grp", F.explode(F.slice("words", 1, (F.col("least") - F.col("before")).cast("int"))).alias("w"))
+    rows = grouped(docs, group, text_col, F.col(order_col).alias("doc"), counts_for_size.alias("counts"))
+    sizes = rows.select("grp", "doc", "counts", F.size(T.words(F.col("text"))).alias("size")).where("size > 0")
+    placed = running_total(sizes, ["grp"], ["doc"], F.col("size"), "before")  # sizes travel, words don't
+    least = placed.where("counts").groupBy("grp").agg(F.sum("size").alias("n")).agg(F.min("n").alias("least"))
+    begun = placed.crossJoin(F.broadcast(least)).where("before < least").select("grp", "doc", (F.col("least") - F.col("before")).cast("int").alias("left"))
+    first = begun.join(rows.select("grp", "doc", "text"), ["grp", "doc"]).select("grp", F.explode(F.slice(T.words(F.col("text")), F.lit(1), F.col("left"))).alias("w"))
     counted = first.groupBy("grp", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("grp").agg(F.sum("n").alias("n_words_used"), F.count(F.lit(1)).alias("vocab_size")).withColumn("ttr", F.round(F.col("vocab_size") / F.col("n_words_used"), 6))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from glyphmill.storage import materialise
@@ -24,3 +24,25 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = laid.join(starts, [*keys, "_part"])
     return joined.withColumn(name, F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_value", "_part", "_start")
+
+
+#: Rows of a group in one block, besides those of its neighbours.
+BLOCK = 100_000
+#: Which rows of ``neighbours`` a block is for.
+OWN = f"_block = at div {BLOCK}"
+
+
+def beside() -> WindowSpec:
+    """The window over a block of ``neighbours``."""
+    return Window.partitionBy("grp", "_block").orderBy("at")
+
+
+def neighbours(numbered: DataFrame, n: int) -> DataFrame:
+    """``numbered`` (grp, at, ...), whose places count from 0 without gaps, in blocks with the row before and ``n`` rows after.
+
+    Windows ``beside()`` then look one row back and n rows ahead, and no group is sorted as a whole. Rows
+    of neighbouring blocks are repeated; what is for a block is told by ``OWN``. ``n`` is less than ``BLOCK``.
+    """
+    shifts = F.array(F.lit(-1), F.lit(n))
+    blocks = F.array_distinct(F.transform(F.concat(F.array(F.lit(0)), shifts), lambda d: F.greatest(F.floor((F.col("at") - d) / BLOCK), F.lit(0))))
+    return numbered.withColumn("_block", F.explode(blocks)).where(f"at >= _block * {BLOCK} - 1 and at < (_block + 1) * {BLOCK} + {n}")

@@ -54,12 +54,18 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+def _spread(table: DataFrame, key: str) -> DataFrame:
+    """A table that is read in fewer partitions than there are cores is spread over these; a larger one stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    return _spread(read_table(spark, folder, "documents"), "doc_id")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "manifest")
+    return _spread(read_table(spark, folder, "manifest"), "sample_id")
 
 
 # --- character scanner -------------------------------------------------------------------------------

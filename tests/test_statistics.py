@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import stats, text
-from glyphmill.operators import ledger, lexical, resample, sequence
+from glyphmill.operators import ledger, lexical, ordered, resample, sequence
 from glyphmill.operators.ordered import running_total
 from glyphmill.plans import catalogue
 
@@ -171,3 +171,18 @@ def test_ledger(spark):
     assert {r.prefix: r.n for r in ledger.by_prefix(df).collect()} == {"a:x": 2, "a:y": 1}
     assert ledger.summary(df.limit(0)).first().n_tests == 0
     assert math.isclose(ledger.corrected(df).first().bonferroni_alpha, 0.05 / 3)
+
+
+def test_character_grams_equal_those_of_the_joined_text(spark, monkeypatch):
+    """Blanks that meet, blank and empty texts, texts shorter than a gram, blocks of few rows and characters."""
+    rng = random.Random(5)
+    rows = [("g", k, None if k == 7 else "".join(rng.choice(" \n\tabÉ漢🙂") for _ in range(rng.choice([0, 1, 1, 2, 3, 9, 60])))) for k in range(60)] + [("h", 1, " \n"), ("h", 2, "")]
+    df = spark.createDataFrame(rows, "grp string, doc int, text string").repartition(3)
+    text_of = " ".join("".join(t or "" for _, _, t in sorted(rows[:60], key=lambda r: r[1])).lower().split())
+    monkeypatch.setattr(ordered, "BLOCK", 6)
+    monkeypatch.setattr(lexical, "OWN", "_block = at div 6")
+    for n in (1, 2, 3, 4):
+        got = lexical.char_ngrams(df, F.col("grp"), "doc", n).collect()
+        grams = [text_of[k : k + n] for k in range(len(text_of) - n + 1)]
+        assert {r.gram: r.n for r in got} == {g: grams.count(g) for g in grams} and {r.grp for r in got} == {"g"}
+        assert [r.gram for r in sorted(got, key=lambda r: r.first)] == list(dict.fromkeys(grams))
