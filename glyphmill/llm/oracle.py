@@ -25,6 +25,8 @@ select sample_id, min(place)::bigint as span_start, (max(place) + 200)::bigint a
 P2_COUNTS = f"""with r as (select sample_id, any_value(text) as text, any_value(model_id) as model_id from manifest group by 1), v as (select sample_id, 'text' as field, unnest({WORDS}) as value from r union all select sample_id, 'model_id', model_id from r where model_id is not null)
 select field, value, count(*) as occurrences, count(distinct sample_id) as records from v group by 1, 2"""
 
+P2_CHANGES = P2_COUNTS.replace("any_value(text) as text,", "any_value(case when sample_id like '%7' and sample_id not like '%77' then 'revised ' || text else text end) as text,").replace("from manifest group", "from manifest where sample_id not like '%3' group")
+
 P3_COVERAGE = f"""with f as ({P3}), c as (select sample_id, sum(span_end - span_start)::bigint as shared_chars from f group by 1), m as (select distinct sample_id, length(text)::bigint as chars from manifest where length(text) >= 200)
 select sample_id, chars, coalesce(shared_chars, 0)::bigint as shared_chars, round(coalesce(shared_chars, 0) / chars, 6) as shared_part from m left join c using (sample_id)"""
 
@@ -55,4 +57,4 @@ select a.doc_id as doc_id_a, b.doc_id as doc_id_b from v a join v b on a.form =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p3_exact": P3_EXACT, "p8_found": P8}
+    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p2_changes": P2_CHANGES, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p3_exact": P3_EXACT, "p8_found": P8}

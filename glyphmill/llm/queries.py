@@ -53,6 +53,20 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p2_store(spark, folder).counts()
 
 
+def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts after three batches: the early rows; the late ones with revisions of many records; deletions, and some revisions taken back."""
+    m = read_table(spark, folder, "manifest").select("sample_id", "text", "model_id", F.unix_micros("ingested_at").alias("at"))
+    lo, hi = m.agg(F.min("at"), F.max("at")).first()
+    late = F.coalesce(F.col("at") > F.lit(((lo or 0) + (hi or 0)) // 2), F.lit(False))
+    ends = lambda x: F.col("sample_id").endswith(x)
+    revised = m.where(ends("7")).withColumn("text", F.concat(F.lit("revised "), "text")).withColumn("at", F.lit((hi or 0) + 1))
+    store = TermStore(spark, new_path(spark, "terms"), {"text": "words", "model_id": "value"})
+    store.apply(m.where(~late), "sample_id", latest_by="at")
+    store.apply(m.where(late).unionByName(revised), "sample_id", latest_by="at")
+    store.apply(m.where(ends("77")), "sample_id", latest_by="at", deleted=m.where(ends("3")).select("sample_id"))
+    return store.counts()
+
+
 def p3_spans(spark: SparkSession, folder: str) -> SharedSpans:
     return shared_spans(read_table(spark, folder, "manifest"), "sample_id", "text", length=200)
 
@@ -116,4 +130,4 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p3_exact": p3_exact, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changes": p2_changes, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p3_exact": p3_exact, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

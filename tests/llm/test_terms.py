@@ -48,3 +48,25 @@ def test_marks(spark):
     store.apply(spark.createDataFrame([(str(k), "all " + "some " * (k % 3 == 0) + f"{'x' * (k + 1)}", None, 0) for k in range(30)], SCHEMA), "id")
     marks = {(r.value, r.mark) for r in store.marked(rare_max=2, common_share=0.4).collect()}
     assert ("all", "common") in marks and ("some", None) in marks and ("xxx", "rare") in marks
+
+
+def test_a_small_batch_writes_what_it_changes_and_layers_are_merged(spark):
+    store = TermStore(spark, new_path(spark, "t"), FIELDS, buckets=4)
+    state = {f"r{k}": (" ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(k, k + 9)), f"M{k % 3}") for k in range(400)}
+    batch = lambda rows: spark.createDataFrame([(i, t, m, 0) for i, (t, m) in rows.items()], SCHEMA)
+    store.apply(batch(state), "id")
+    change = {"r5": ("only this", "M9")}
+    store.apply(batch(change), "id", deleted=spark.createDataFrame([("r7",)], "id string"))
+    state |= change
+    del state["r7"]
+    layer = spark.read.parquet(f"{store.path}/counts/layer/2")
+    signed = {(r.value, r.records) for r in layer.collect()}
+    assert ("only", 1) in signed and ("M9", 1) in signed and min(n for _, n in signed) == -2 and layer.count() < 30
+    assert store._whole("counts") == store._whole("records") == 1
+    assert {tuple(r) for r in store.counts().collect()} == brute(state) and store.total() == 399
+    store.compact()
+    assert store._whole("counts") == store._whole("records") == 2 and TermStore(spark, store.path, FIELDS).version == 2
+    assert {tuple(r) for r in store.counts().collect()} == brute(state) and store.total() == 399
+    more = {f"n{k}": (f"new{'x' * (k % 9)} word", None) for k in range(300)}
+    store.apply(batch(more), "id")
+    assert store._whole("records") == 3 and {tuple(r) for r in store.counts().collect()} == brute(state | more)
