@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +104,25 @@ def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+def local_file(path: str) -> str:
+    """The vocabulary file on this executor: where it is on the driver, or where it was sent to."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def send(df: DataFrame, path: str) -> None:
+    """Send the vocabulary file to the executors, once for each application."""
+    sc = df.sparkSession.sparkContext
+    if (key := (sc.applicationId, path)) not in _sent:
+        sc.addFile(path)
+        _sent.add(key)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(local_file(path))
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -118,8 +136,9 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT)
     """(``id_col``, ids): the token ids of each text, without special tokens.
 
     Null and empty texts give an empty list. One row comes out for each row that goes in, repeated ids
-    and null ids included; other columns are ignored. The vocabulary file is read on each executor.
+    and null ids included; other columns are ignored. The vocabulary file is sent to the executors.
     """
+    send(df, path)
     kind = df.select(id_col).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encode(path), f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
@@ -127,7 +146,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT)
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(local_file(path))
         for batch in batches:
             n = [len(enc.encode(x)) if x else 0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "tokens"])
@@ -137,6 +156,7 @@ def _count(path: str):
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT) -> DataFrame:
     """(``id_col``, tokens): the number of tokens of each text; 0 for null and empty texts."""
+    send(df, path)
     kind = df.select(id_col).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_count(path), f"id {kind}, tokens long").select(F.col("id").alias(id_col), "tokens")

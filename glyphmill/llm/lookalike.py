@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from glyphmill.storage import materialise
 
 # Letters that look like a Latin one, as "letter Latin" pairs.
-CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ҺH ԚQ ԜW ҮY"
-GREEK = "οo νv αa ιi κk ρp υu χx ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϲc ͿJ"
+CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ҺH ԚQ ԜW ҮY ӀI ѵv ѴV үy"
+GREEK = "οo νv αa ιi κk ρp υu χx ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϲc ͿJ ϺM"
+LATIN = "ɑa ɡg"
 #: Decompositions that only change the width of a character or join several.
 TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -32,7 +33,7 @@ LIMIT = 1 << 20
 
 
 def lookalikes() -> dict[str, str]:
-    return {pair[0]: pair[1] for pair in (CYRILLIC + " " + GREEK).split()}
+    return {pair[0]: pair[1] for pair in f"{CYRILLIC} {GREEK} {LATIN}".split()}
 
 
 def _image(ch: str, alike: dict[str, str]) -> str:
@@ -204,15 +205,32 @@ def uniform_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_rewrite(tables), f"id {kind}, text string, form string").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "form")
 
 
+def _form_keys(df: DataFrame, id_col: str, text_col: str, least_visible: int) -> DataFrame:
+    forms = uniform_texts(df, id_col, text_col).toDF("id", "text", "form").where("id is not null and form is not null")
+    seen = forms.where(F.length(F.regexp_replace("form", r"\s", "")) >= least_visible)
+    return materialise(seen.select("id", F.unhex(F.md5("text")).alias("stored"), F.unhex(F.md5("form")).alias("form")), "forms")
+
+
+def look_classes(df: DataFrame, id_col: str, text_col: str, *, least_visible: int = 20) -> DataFrame:
+    """(``id_col``, class_id, stored_id, spellings, records): one row for each record, its class of texts that look the same,
+    that of equal texts, and how many different texts and records the first has.
+
+    The form without the pairs: linear in the records, however many look the same. Texts with fewer than
+    ``least_visible`` characters that aren't white space, null texts and null ids are in no class; a repeated row counts once.
+    """
+    keys = _form_keys(df, id_col, text_col, least_visible).distinct()
+    variants = keys.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("records"))
+    name = lambda c: F.lower(F.hex(c))
+    return keys.join(variants, "form").select(F.col("id").alias(id_col), name("form").alias("class_id"), name("stored").alias("stored_id"), "spellings", "records")
+
+
 def hidden_pairs(df: DataFrame, id_col: str, text_col: str, *, least_visible: int = 20) -> DataFrame:
     """(id_a, id_b), smaller first: records whose texts differ as stored but have the same form.
 
     The form must have ``least_visible`` characters that aren't white space. Null texts and null ids are
     in no pair; a repeated row counts once. Only forms that are stored in several ways are joined.
     """
-    forms = uniform_texts(df, id_col, text_col).toDF("id", "text", "form").where("id is not null and form is not null")
-    seen = forms.where(F.length(F.regexp_replace("form", r"\s", "")) >= least_visible)
-    keys = materialise(seen.select("id", F.unhex(F.md5("text")).alias("stored"), F.unhex(F.md5("form")).alias("form")), "forms")
+    keys = _form_keys(df, id_col, text_col, least_visible)
     several = keys.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     rows = keys.join(several, "form", "left_semi").distinct()
     a, b = (rows.select("form", F.col("id").alias(f"id_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")

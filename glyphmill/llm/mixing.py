@@ -60,7 +60,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     share; with it, a source that runs out at ``max_repeats`` copies falls short. No document is used more
     often than ``max_repeats`` (null means once, less than one never). Documents with a null source, without
     tokens, with a null id, or with a weight of null or not above 0 are not used; a repeated id counts once,
-    with its least source and text. Targets given twice count once, with the largest share.
+    with its least source and, of its texts there that have tokens, the one with the least hash. Targets given twice count once, with the largest share.
     A source's tokens differ from its due by half of one document at most, unless weights run into the cap.
     """
     spark = documents.sparkSession
@@ -69,10 +69,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_
     wanted = targets.groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")).where("mix_id is not null and source is not null")
     small = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df  # beyond that, plain joins
     rows = rows.join(small(wanted.select("source").distinct()), "source", "left_semi")
-    rows = rows.groupBy("id").agg(F.min(F.struct("source", "text", "weight")).alias("x")).select("id", "x.*")
     kind = rows.select("id").schema[0].dataType.simpleString()
-    packed = rows.select(F.struct("id", "source", "weight").alias("id"), "text")
-    sized = materialise(count_tokens(packed, "id", "text", tokenizer).select("id.id", "id.source", "id.weight", "tokens").where("tokens > 0"), "sized")
+    packed = rows.select(F.struct("id", "source", F.xxhash64("text").alias("digest"), "weight").alias("id"), "text")
+    counted = count_tokens(packed, "id", "text", tokenizer).select("id.*", "tokens").where("tokens > 0")
+    one = counted.groupBy("id").agg(F.min(F.struct("source", "digest", "tokens", "weight")).alias("x"))  # no text is shuffled
+    sized = materialise(one.select("id", "x.source", "x.weight", "x.tokens"), "sized")
 
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("available"), (F.sum(F.col("tokens") * F.col("weight")) / F.sum("tokens")).alias("mean_weight"))
     plan = wanted.join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("cap", F.greatest(F.col("max_repeats"), F.lit(0)) * F.col("available"))

@@ -164,6 +164,8 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, *, shingle:
     t = Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("threshold must lie in (0, 1]")
+    if not 1 <= most_matches <= 15:
+        raise ValueError("most_matches must lie between 1 and 15")
     spark = records.sparkSession
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").withColumn("digest", F.unhex(F.md5(F.col("text"))))
     members = rows.select("id", "digest").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.encode import encode_texts
-from glyphmill.llm.lookalike import hidden_pairs, uniform_texts
+from glyphmill.llm.lookalike import hidden_pairs, look_classes, uniform_texts
 from glyphmill.llm.mixing import Mix, mix_sources
 from glyphmill.llm.neardup import near_duplicates
 from glyphmill.llm.oracle import oracle_sql
@@ -121,6 +121,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _p7(spark, folder).shares()
 
 
+def p7_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixes with unequal chances: documents of the long band count three times as much as short ones, those without a band half."""
+    weight = F.when(F.col("length_band") == "long", 3.0).when(F.col("length_band") == "medium", 2.0).when(F.col("length_band").isNull(), 0.5).otherwise(1.0)
+    d = read_table(spark, folder, "documents").withColumn("weight", weight)
+    mix = mix_sources(d, read_table(spark, folder, "mix_targets"), weight_col="weight")
+    return mix.chosen.select("mix_id", F.col("id").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return look_classes(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_pairs(read_table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
@@ -130,4 +142,4 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changes": p2_changes, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p3_exact": p3_exact, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p2_changes": p2_changes, "p3_found": p3_found, "p3_coverage": p3_coverage, "p3_passages": p3_passages, "p3_exact": p3_exact, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weighted": p7_weighted, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}

@@ -2,7 +2,7 @@ import itertools
 import random
 import unicodedata
 
-from glyphmill.llm.lookalike import Rewriter, _image, hidden_pairs, lookalikes, mapping, uniform_texts
+from glyphmill.llm.lookalike import Rewriter, _image, hidden_pairs, look_classes, lookalikes, mapping, uniform_texts
 
 POOL = "abeoAO аеоё\u0327\u0323\u0301\u0300\u0308\u0302\u200bｆｗﬁﬃ가각\u00a0éÅǖṩְ֑क़क़ཱིུい゙か\t\n"
 
@@ -41,3 +41,14 @@ def test_long_texts_are_whole(spark):
     text = ("ａ\u0301 " * 700_000)[:-1]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert uniform_texts(df, "doc_id", "text").first().form == ("á " * 700_000)[:-1]
+
+
+def test_classes_hold_what_pairs_hold(spark):
+    base = "The quick brown fox jumps over"
+    rows = [(k, base.replace("o", "о") if k % 3 == 1 else base) for k in range(40)] + [(50, "short"), (51, None), (None, base), (0, base), (52, base.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in look_classes(df, "doc_id", "text").collect()}
+    assert set(got) == {*range(40), 52} and {(r.spellings, r.records) for k, r in got.items() if k < 40} == {(2, 40)} and got[52].spellings == 1
+    pairs = {(a, b) for a in got for b in got if a < b and got[a].class_id == got[b].class_id and got[a].stored_id != got[b].stored_id}
+    assert pairs == {tuple(r) for r in hidden_pairs(df, "doc_id", "text").collect()}
+    assert look_classes(df.limit(0), "doc_id", "text").count() == 0

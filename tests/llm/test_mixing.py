@@ -48,3 +48,18 @@ def test_empty_tables(spark):
     docs, targets = spark.createDataFrame([], "doc_id long, source string, text string"), spark.createDataFrame(TARGETS, "mix_id string, source string, target_share double, max_repeats int")
     assert mix_sources(docs, targets).chosen.count() == 0
     assert mix_sources(docs, targets.limit(0)).shares().count() == 0
+
+
+def test_inclusion_follows_the_weights(spark):
+    docs = spark.createDataFrame([(k, "s", "word " * 5, 1.0 + k % 3) for k in range(6000)], "doc_id long, source string, text string, w double")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    taken = [r.id % 3 for r in mix_sources(docs, targets, total_tokens=6000, weight_col="w").chosen.collect()]
+    whole = len(taken) / 6000
+    for k in range(3):
+        assert taken.count(k) / 2000 == pytest.approx(whole * (k + 1) / 2, abs=0.03)
+
+
+def test_a_repeated_id_counts_once_with_its_least_source(spark):
+    docs = spark.createDataFrame([(1, "b", "one two"), (1, "a", "one"), (1, "a", ""), (2, "b", "x y z")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("m", "a", 0.5, 9), ("m", "b", 0.5, 9)], "mix_id string, source string, target_share double, max_repeats int")
+    assert {(r.id, r.source) for r in mix_sources(docs, targets).chosen.collect()} == {(1, "a"), (2, "b")}
