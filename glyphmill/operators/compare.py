@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,63 @@ def _cut(data: bytes, a: int, b: int) -> str:
     return shown(data[a:b].decode("utf-8", "replace"))
 
 
+#: Elements of the two sides, multiplied, up to which a stretch is matched one by one; longer ones are first cut at lines that stand once in either.
+MATCHED = 1 << 24
+
+
+def _common(a, b) -> int:
+    """How many elements are equal from the start on."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def _anchors(a, b) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of lines that stand once in either side, in the order of both."""
+    end = b"\n" if isinstance(a, bytes) else "\n"
+
+    def once(x) -> dict:
+        at, seen = 0, {}
+        for line in x.split(end):
+            seen[line] = None if line in seen else at
+            at += len(line) + 1
+        return {line: place for line, place in seen.items() if place is not None and line}
+
+    there = once(b)
+    pairs = [(i, there[line], len(line)) for line, i in once(a).items() if line in there]
+    ends, links, back = [], [], [-1] * len(pairs)  # the longest run that ascends in b
+    for k, (_, j, _) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        back[k] = links[at - 1] if at else -1
+        ends[at : at + 1], links[at : at + 1] = [j], [k]
+    out, k = [], links[-1] if links else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
 def _opcodes(a, b):
-    """Differing opcodes; a common start and end of equal texts aren't searched again."""
-    return (op for op in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal")
+    """Differing opcodes. Common ends are cut off first, and long stretches at lines that both hold once, so the quadratic match sees only what lies between."""
+    head = _common(a, b)
+    tail = _common(a[head:][::-1], b[head:][::-1])
+    a_end, b_end = len(a) - tail, len(b) - tail
+    if (a_end - head) * (b_end - head) <= MATCHED:
+        found = difflib.SequenceMatcher(None, a[head:a_end], b[head:b_end], autojunk=False).get_opcodes()
+        yield from ((op, i + head, j + head, k + head, m + head) for op, i, j, k, m in found if op != "equal")
+        return
+    i = k = 0
+    between = _anchors(a[head:a_end], b[head:b_end])
+    if not between:
+        yield "replace", head, a_end, head, b_end
+        return
+    for x, y, n in [*between, (a_end - head, b_end - head, 0)]:
+        part_a, part_b = a[head + i : head + x], b[head + k : head + y]
+        if part_a != part_b:
+            yield from ((op, p + head + i, q + head + i, r + head + k, t + head + k) for op, p, q, r, t in _opcodes(part_a, part_b))
+        i, k = x + n, y + n
 
 
 def byte_differences(a: bytes, b: bytes):
@@ -77,12 +132,15 @@ def char_differences(a: str, b: str):
             return
         ends = [x >= len(t) or t[x] in "\r\n" for t, x in ((a, j), (b, m))]
         kind = kind_of(a[i:j], b[k:m], a[max(0, i - 1) : i], b[max(0, k - 1) : k], *ends)
-        points = lambda s: [f"U+{ord(c):04X}" for c in s[:MAX_CHARS]]
+        points = lambda s: [(f"U+{ord(c):04X}", unicodedata.name(c, "<unnamed>")) for c in s[:MAX_CHARS]]
         yield n, op, i, j, k, m, points(a[i:j]), points(b[k:m]), shown(a[i : min(j, i + MAX_CHARS)]), shown(b[k : min(m, k + MAX_CHARS)]), shown(a[max(0, i - RADIUS) : j + RADIUS]), shown(b[max(0, k - RADIUS) : m + RADIUS]), kind
 
 
+POINT = StructType([StructField("codepoint", StringType()), StructField("name", StringType())])
+
+
 def _schema(*names: str) -> StructType:
-    kinds = {"n": IntegerType(), "a_start": IntegerType(), "a_end": IntegerType(), "b_start": IntegerType(), "b_end": IntegerType(), "a_codepoints": ArrayType(StringType()), "b_codepoints": ArrayType(StringType())}
+    kinds = {"n": IntegerType(), "a_start": IntegerType(), "a_end": IntegerType(), "b_start": IntegerType(), "b_end": IntegerType(), "a_codepoints": ArrayType(POINT), "b_codepoints": ArrayType(POINT)}
     return StructType([StructField(x, kinds.get(x, StringType())) for x in ("n", "op", "a_start", "a_end", "b_start", "b_end", *names)])
 
 
@@ -113,9 +171,8 @@ def differences(pairs: DataFrame, by: str = "char") -> DataFrame:
     """Of (id, a, b) bytes: one row for each difference. Equal pairs are told by their hashes and never compared."""
     register(pairs.sparkSession)
     fn = {"char": "char_diff", "byte": "byte_diff"}[by]
-    view = f"pairs_{abs(hash(pairs)) % 10**12}"
-    pairs.where("a is not null and b is not null and sha2(a, 256) <> sha2(b, 256)").createOrReplaceTempView(view)
-    return pairs.sparkSession.sql(f"select p.id, d.* from {view} p, lateral {fn}(p.a, p.b) d")
+    differing = pairs.where("a is not null and b is not null and sha2(a, 256) <> sha2(b, 256)")
+    return pairs.sparkSession.sql(f"select p.id, d.* from {{pairs}} p, lateral {fn}(p.a, p.b) d", pairs=differing)
 
 
 def comparison(pairs: DataFrame) -> DataFrame:
@@ -140,8 +197,8 @@ def word_jaccard(a, b):
 
 def repeat_pairs(docs: DataFrame, pairs: DataFrame, keys: list[str], item: str, text_col: str = "text") -> DataFrame:
     """Of docs with one row by keys and item: both texts of each pair (item_a, item_b), where either is there."""
-    a = docs.join(F.broadcast(pairs.withColumnRenamed("item_a", item)), item).select(*keys, F.col(item).alias("item_a"), "item_b", F.col(text_col).alias("text_a"))
-    b = docs.join(F.broadcast(pairs.withColumnRenamed("item_b", item)), item).select(*keys, "item_a", F.col(item).alias("item_b"), F.col(text_col).alias("text_b"))
+    a = docs.join(pairs.withColumnRenamed("item_a", item), item).select(*keys, F.col(item).alias("item_a"), "item_b", F.col(text_col).alias("text_a"))
+    b = docs.join(pairs.withColumnRenamed("item_b", item), item).select(*keys, "item_a", F.col(item).alias("item_b"), F.col(text_col).alias("text_b"))
     return a.join(b, [*keys, "item_a", "item_b"], "full")
 
 

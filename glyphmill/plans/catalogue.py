@@ -16,7 +16,7 @@ from glyphmill.functions import text as T
 from glyphmill.functions.chartables import HIDDEN_RATE_BUCKETS, RATE_BUCKETS, SUSPICIOUS
 from glyphmill.operators import compare, ledger, lexical, records, resample, routes, scan, sequence
 from glyphmill.plans import dialect as D
-from glyphmill.storage import read_table
+from glyphmill.storage import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -275,7 +275,7 @@ def vocabulary_matched(spark, folder):
     return lexical.matched_vocabulary(docs(spark, folder), _source(), "doc_id", ~F.coalesce(_control(), F.lit(False)))
 
 
-_TERMS = ("audit", "ledger", "copy", "record", *lexical.MARKER_TERMS)
+_TERMS = lexical.MARKER_TERMS
 
 
 @query(f"with {_BASE}, {_WORDS}, t as (select grp, count(*) as words from each group by 1), f as (select grp, word as term, count(*) as n from each where word in ({', '.join(map(D.q, _TERMS))}) group by 1, 2), f2 as (select * from f union all select grp, 'COMBINED', sum(n)::bigint from f group by 1), g as (select grp, words, unnest([{', '.join(map(D.q, [*_TERMS, 'COMBINED']))}]) as term from t), r as (select grp, term, coalesce(n, 0)::bigint as n, words from g left join f2 using (grp, term)) select grp, term, n, words, {D.rates('n', 'words')} from r")
@@ -307,86 +307,120 @@ def typography_by_genre(spark, folder):
 _LAGS = ", ".join(map(str, sequence.LAGS))
 
 
-@query(f"with s as (select doc_id as id, list_transform({D.sentences('text')}, lambda s: len({D.words('s')}))[1:{sequence.MAX_SENTENCES}] as x from documents where text is not null), e as (select id, len(x) as n, x, unnest([{_LAGS}]) as lag from s), p as (select id, n, lag, unnest(x[1:n - lag])::double as a, unnest(x[lag + 1:n])::double as b from e where n > lag + 5) select id as doc_id, n, lag, round({D.pearson('a', 'b')}, 6) as r from p group by all")
+_SENTENCE_PAIRS = f"s as (select doc_id as id, coalesce(lang, 'none') as grp, prompt_category, list_transform({D.sentences('text')}, lambda s: len({D.words('s')})) as x from documents where text is not null), e as (select id, grp, prompt_category, len(x) as n, x, unnest([{_LAGS}]) as lag from s), p as (select id, grp, prompt_category, n, lag, unnest(x[1:n - lag])::double as a, unnest(x[lag + 1:n])::double as b from e where n > lag + 5)"
+
+
+@query(f"with {_SENTENCE_PAIRS} select id as doc_id, n, lag, round({D.pearson('a', 'b')}, 6) as r from p group by id, n, lag")
 def autocorr_sentences(spark, folder):
     return sequence.lag_correlation(sequence.sentence_sequences(docs(spark, folder), "doc_id")).withColumnRenamed("id", "doc_id")
 
 
-@query(f"with {_BASE}, {_WORDS}, p as (select grp, length(w)::double as x, row_number() over (partition by grp order by doc, k) - 1 as idx from each), c as (select * from p where idx < {sequence.MAX_WORDS}), n as (select grp, count(*) as n from c group by 1), l as (select c.grp, n, lag, c.x as a, d.x as b from c join n using (grp), (select unnest([{_LAGS}]) as lag) g, c d where d.grp = c.grp and d.idx = c.idx + lag and n > lag + 20) select grp, n, lag, round({D.pearson('a', 'b')}, 6) as r from l group by 1, 2, 3")
-def autocorr_words(spark, folder):
-    return sequence.word_lag_correlation(docs(spark, folder), _lang(), "doc_id", cap=sequence.MAX_WORDS)
+@query(f"with {_SENTENCE_PAIRS}, r as (select grp, id, lag, round({D.pearson('a', 'b')}, 6) as r from p where {PROSE_SQL} group by grp, id, lag) select grp, lag, count(r) as texts, round(avg(r), 5) as mean_r from r where r is not null group by grp, lag")
+def autocorr_pooled(spark, folder):
+    """Per group and lag: texts tested and their mean correlation."""
+    seqs = sequence.sentence_sequences(docs(spark, folder).where(_prose()), "doc_id", "text", _lang().alias("grp"))
+    each = sequence.lag_correlation(seqs.select(F.struct("id", "grp").alias("id"), "x")).where("r is not null")
+    return each.groupBy("id.grp", "lag").agg(F.count("r").alias("texts"), F.round(F.avg("r"), 5).alias("mean_r"))
 
 
-@query()
-def autocorr_words_all(spark, folder):
-    """``autocorr_words`` over all words: its SQL defines it with the reference's cap."""
+_JOINED_WORDS = f"w as (select grp, {D.words("string_agg(text, '' order by doc)")} as w from base group by grp), p as (select grp, list_transform(w, lambda x: length(x))::double[] as x, len(w) as n, unnest([{_LAGS}]) as lag from w)"
+
+
+@query(f"with {_BASE}, {_JOINED_WORDS}, l as (select grp, n, lag, unnest(x[1:n - lag]) as a, unnest(x[lag + 1:n]) as b from p where n > lag + 20) select grp, n, lag, round({D.pearson('a', 'b')}, 6) as r from l group by 1, 2, 3")
+def autocorr_words(spark, folder):
     return sequence.word_lag_correlation(docs(spark, folder), _lang(), "doc_id")
 
 
 _GAPS = f"""with {_BASE}, off as (select grp, doc, text, coalesce(sum(length(text)) over (partition by grp order by doc rows between unbounded preceding and 1 preceding), 0) as off from base where text <> ''),
-pos as (select grp, off + generate_subscripts({D.chars('text')}, 1) - 1 as idx, unnest({D.chars('text')}) as ch from off), marks as (select grp, idx from pos where ch in ('.', '!', '?')),
-gaps as (select * from (select grp, idx, idx - lag(idx) over (partition by grp order by idx) as gap from marks) where gap is not null)"""
+pos as (select grp, off + generate_subscripts({D.chars('text')}, 1) - 1 as idx, unnest({D.chars('text')}) as ch from off),
+marks as (select 'comma' as marker, grp, idx from pos where ch = ',' union all select 'period', grp, idx from pos where ch = '.' union all select 'all_terminal_punct', grp, idx from pos where ch in ('.', '!', '?')),
+gaps as (select * from (select marker, grp, idx, idx - lag(idx) over (partition by marker, grp order by idx) as gap from marks) where gap is not null)"""
 
 
-@query(f"{_GAPS} select grp, idx::bigint as place, gap::bigint as gap from gaps")
+@query(f"{_GAPS} select marker, grp, idx::bigint as place, gap::bigint as gap from gaps")
 def marker_gaps(spark, folder):
-    return sequence.marker_gaps(docs(spark, folder), _lang(), "doc_id", sequence.MARKERS["all_terminal_punct"])
+    return sequence.marker_gaps(docs(spark, folder), _lang(), "doc_id")
 
 
-@query(f"{_GAPS}, e as (select grp, gap, unnest([{', '.join(map(str, sequence.PERIODS))}]) as k from gaps), o as (select grp, k, gap % k as r, count(*) as o from e group by 1, 2, 3), s as (select grp, k, sum(o)::bigint as n_gaps, sum(o * o) as oo from o group by 1, 2) select grp, k, n_gaps, case when n_gaps >= 5 * k then round(oo::double * k / n_gaps - n_gaps, 6) end as chi2 from s")
+@query(f"{_GAPS}, e as (select marker, grp, gap, unnest([{', '.join(map(str, sequence.PERIODS))}]) as k from gaps), o as (select marker, grp, k, gap % k as r, count(*) as o from e group by all), s as (select marker, grp, k, sum(o)::bigint as n_gaps, sum(o * o) as oo from o group by all) select marker, grp, k, n_gaps, case when n_gaps >= 5 * k then round(oo::double * k / n_gaps - n_gaps, 6) end as chi2 from s")
 def gap_chi2(spark, folder):
     return sequence.gap_chi2(marker_gaps(spark, folder))
 
 
-def _by_marker(spark, folder, of):
-    """``of`` the gaps of each marker set, with its name."""
-    parts = [of(sequence.marker_gaps(docs(spark, folder), _lang(), "doc_id", marks)).withColumn("marker", F.lit(name)) for name, marks in sequence.MARKERS.items()]
-    return functools.reduce(DataFrame.unionByName, parts)
+# --- resampling: rows only --------------------------------------------------------------------------------
+
+def _sentence_values(rows: DataFrame) -> DataFrame:
+    return lexical.sentence_lengths(rows, _source(), "doc_id").select("grp", F.struct("doc", "k").alias("at"), F.col("words").alias("x"))
 
 
 @query()
-def marker_gaps_all(spark, folder):
-    """``marker_gaps`` of all marker sets; its SQL and that of ``gap_chi2`` define them for one."""
-    return _by_marker(spark, folder, lambda gaps: gaps)
+def bootstrap_means(spark, folder):
+    return resample.bootstrap_groups(_sentence_values(docs(spark, folder).where(_prose())))
 
 
 @query()
-def gap_chi2_all(spark, folder):
-    return _by_marker(spark, folder, sequence.gap_chi2)
+def difference_tests(spark, folder):
+    return resample.difference_tests(_sentence_values(docs(spark, folder).where(_prose())), "human_control")
 
 
-# --- resampling: rows only --------------------------------------------------------------------------------
+def _dialogue_values(spark, folder) -> DataFrame:
+    """Sentences of dialogue prompts of each source, and all of the control's."""
+    quoted = (F.col("prompt_category") == "quoted_speech") & ~F.coalesce(_control(), F.lit(False))
+    return _sentence_values(docs(spark, folder).where(quoted | _control()))
+
 
-def _sentence_values(spark, folder):
-    return lexical.sentence_lengths(docs(spark, folder).where(_prose()), _source(), "doc_id").select("grp", F.concat_ws(":", "doc", "k").alias("at"), F.col("words").alias("x"))
+@query(f"with s as (select coalesce(source, 'none') as grp, unnest({D.sentences('text')}) as s from documents where text is not null and (source = 'human_control' or prompt_category = 'quoted_speech')), l as (select grp, avg(len({D.words('s')})) as m, count(*) as n from s group by 1), c as (select m from l where grp = 'human_control') select grp, n, round(l.m, 6) as mean, round(l.m - c.m, 6) as diff from l, c where grp <> 'human_control'")
+def dialogue_means(spark, folder):
+    """Mean sentence length of dialogue against the control's, of the counts that ``dialogue_tests`` tests."""
+    means = _dialogue_values(spark, folder).groupBy("grp").agg(F.count("x").alias("n"), F.avg("x").alias("m"))
+    control = means.where("grp = 'human_control'").select(F.col("m").alias("c"))
+    return means.where("grp <> 'human_control'").crossJoin(F.broadcast(control)).select("grp", "n", F.round("m", 6).alias("mean"), F.round(F.col("m") - F.col("c"), 6).alias("diff"))
 
 
 @query()
-def bootstrap_means(spark, folder):
-    return resample.bootstrap_groups(_sentence_values(spark, folder))
+def dialogue_tests(spark, folder):
+    return resample.difference_tests(_dialogue_values(spark, folder), "human_control")
 
 
 @query()
-def difference_tests(spark, folder):
-    return resample.difference_tests(_sentence_values(spark, folder), "human_control")
+def permutation_autocorr(spark, folder):
+    seqs = sequence.sentence_sequences(docs(spark, folder).where(_prose()), "doc_id", "text", _lang().alias("grp"))
+    return resample.lag_battery(seqs.withColumnRenamed("id", "doc_id"), sequence.LAGS)
 
 
 @query()
-def permutation_autocorr(spark, folder):
-    seqs = sequence.sentence_sequences(docs(spark, folder).where(_prose()), "doc_id")
-    return resample.lag_battery(seqs, sequence.LAGS).withColumnRenamed("id", "doc_id")
+def permutation_words(spark, folder):
+    """The lag tests of each group's word lengths, over all of its words."""
+    return resample.pair_battery(sequence.word_pairs(docs(spark, folder), _lang(), "doc_id"))
 
 
 @query()
 def gap_periodicity(spark, folder):
-    return _by_marker(spark, folder, lambda gaps: resample.gap_battery(gaps, sequence.PERIODS))
+    return resample.gap_battery(marker_gaps(spark, folder), sequence.PERIODS)
+
+
+def _batteries(spark, folder) -> DataFrame:
+    """Every test of every battery as ledger rows, written once: the tests aren't run again for each figure of the ledger."""
+    name = F.format_string
+    tests = [
+        ledger.log("autocorr", permutation_autocorr(spark, folder), name("autocorr_sentlen:%s:lag%s:%s", "grp", "lag", "doc_id")),
+        ledger.log("words", permutation_words(spark, folder), name("autocorr_wordlen:%s:lag%s", "grp", "lag")),
+        ledger.log("gaps", gap_periodicity(spark, folder), name("gap_mod:%s:%s:k%s", "marker", "grp", "k")),
+        ledger.log("punctuation", punct_p(spark, folder), name("punct:%s:%s", "category", "grp")),
+        ledger.log("dialogue", dialogue_tests(spark, folder), name("sentlen_dialogue:%s", "grp")),
+    ]
+    return materialise(functools.reduce(DataFrame.unionByName, tests), "ledger")
 
 
 @query()
 def battery_ledger(spark, folder):
-    one = ledger.log("autocorr", permutation_autocorr(spark, folder), F.format_string("autocorr:%s:lag%s", "doc_id", "lag"))
-    two = ledger.log("gaps", gap_periodicity(spark, folder), F.format_string("gap_mod:%s:%s:k%s", "marker", "grp", "k"))
-    return ledger.summary(one.unionByName(two))
+    return ledger.summary(_batteries(spark, folder))
+
+
+@query()
+def battery_prefixes(spark, folder):
+    """Tests, nominal hits and least p of each battery and group."""
+    return ledger.by_prefix(_batteries(spark, folder))
 
 
 # --- ledger -------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +36,33 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROVENANCE).option("multiLine", True).json(path).select(F.inline("controls"))
 
 
+def _numbered(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
 def random_ascii(spark: SparkSession, lines: int = 400, seed: int = 20260812) -> DataFrame:
-    """(line, text): seeded lines of 40 to 100 printable characters, a control without language."""
-    rng = random.Random(seed)
-    rows = [(k, "".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(40, 100)))) for k in range(lines)]
-    return spark.createDataFrame(rows, "line int, text string")
+    """(line, text): seeded lines of 40 to 100 printable characters, a control without language.
+
+    The order of draws and of the alphabet is a fixed value: with the default seed the lines, joined and ended by LF, are a published control.
+    """
+    rng, alphabet = random.Random(seed), string.digits + string.ascii_letters + string.punctuation + " "
+    return _numbered(spark, ["".join(map(rng.choice, [alphabet] * rng.randint(40, 100))) for _ in range(lines)])
 
 
-def pseudo_prose(spark: SparkSession, count: int = 600, seed: int = 20260812, words: tuple[str, ...] = tuple("the of and to in that it was as for with his on be at by had not but from they she which or we an were there been their has more when who will would if no out so said what up its about than into them can only other time new some could these two may first then do any my now such like our over man me even most".split())) -> DataFrame:
-    """(line, text): seeded sentences of 5 to 25 frequent words, a control with letters but no meaning."""
+#: Letters and ends of pseudo prose.
+ONSETS, NUCLEI, STOPS = "bcdfghjklmnpqrstvwxyz", "aeiou", (".", ".", ".", "?", "!")
+
+
+def pseudo_prose(spark: SparkSession, count: int = 600, seed: int = 20260813) -> DataFrame:
+    """(line, text): seeded sentences of 6 to 20 words of 1 to 4 open syllables, a control with letters but no meaning; the order of draws is a fixed value."""
     rng = random.Random(seed)
-    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(5, 25))).capitalize() + ".") for k in range(count)]
-    return spark.createDataFrame(rows, "line int, text string")
+
+    def sentence() -> str:
+        syllables = lambda: "".join(rng.choice(sound) for _ in range(rng.randint(1, 4)) for sound in (ONSETS, NUCLEI))
+        said = " ".join(syllables() for _ in range(rng.randint(6, 20)))
+        return said.capitalize() + rng.choice(STOPS)
+
+    return _numbered(spark, [sentence() for _ in range(count)])
 
 
 def provenance_record(docs: DataFrame, id_col: str, content_col: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import math
+import os
 import random
+import re
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,28 +80,29 @@ def test_ngrams_cross_documents(spark):
 def test_lags_and_gaps(spark):
     x = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
     got = {r.lag: r.r for r in sequence.lag_correlation(spark.createDataFrame([(1, x), (2, [7] * 9), (3, [])], "id int, x array<int>")).where("id = 1").collect()}
-    assert got == {lag: pytest.approx(resample.lag_r(x, lag), abs=1e-6) for lag in (1, 2, 3, 5)}
+    assert got == {lag: pytest.approx(resample.lag_statistic(lag)(x), abs=1e-6) for lag in (1, 2, 3, 5)}
     const = sequence.lag_correlation(spark.createDataFrame([(2, [7] * 9)], "id int, x array<int>")).collect()
     assert const and all(r.r is None for r in const)
     docs = spark.createDataFrame([("g", 1, "a.b."), ("g", 2, "none"), ("g", 3, "..x")], "grp string, doc int, text string")
-    assert sorted(tuple(r)[1:] for r in sequence.marker_gaps(docs, F.col("grp"), "doc", ".").collect()) == [(3, 2), (8, 5), (9, 1)]
+    assert sorted(tuple(r)[1:] for r in sequence.marker_gaps(docs, F.col("grp"), "doc", {"period": "."}).drop("marker").collect()) == [(3, 2), (8, 5), (9, 1)]
     gaps = spark.createDataFrame([("g", k, k % 3 + 1) for k in range(40)], "grp string, place long, gap long")
     chi = {r.k: r.chi2 for r in sequence.gap_chi2(gaps).collect()}
-    assert chi[2] == pytest.approx(resample.uniform_mod_k([k % 3 + 1 for k in range(40)], 2, 5)["chi2"]) and chi[10] is None
+    assert chi[2] == pytest.approx(resample.faces_test(resample.residues([k % 3 + 1 for k in range(40)], 2), 5)["chi2"]) and chi[10] is None
 
 
-def test_lags_of_long_sequences(spark):
+def test_lags_over_joined_texts(spark):
+    """Words at seams run together, through texts that are one run; apostrophes at seams join too."""
     rng = random.Random(8)
-    docs = [(k, " ".join("a" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 2, 5, 900])))) for k in range(200)]
-    x = [len(w) for _, t in docs for w in t.split()]
-    assert len(x) > sequence.MAX_WORDS
-    df = spark.createDataFrame([("g", k, t) for k, t in docs], "grp string, doc int, text string").repartition(3)
-    for cap in (None, 2000):
-        got = {r.lag: (r.n, r.r) for r in sequence.word_lag_correlation(df, F.col("grp"), "doc", cap=cap).collect()}
-        assert got == {lag: (len(x[:cap]), pytest.approx(resample.lag_r(x[:cap], lag), abs=1e-6)) for lag in sequence.LAGS}
+    docs = [(k, " ".join("a" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 1, 2, 5, 300]))) + rng.choice(["", " ", ".", "'"])) for k in range(200)] + [(200, "'"), (201, "b"), (202, "")]
+    x = [len(w) for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*", "".join(t for _, t in docs))]
+    df = spark.createDataFrame([("g", k, t) for k, t in docs] + [("h", 1, "solid")], "grp string, doc int, text string").repartition(3)
+    words = sorted((r.before, list(r.x)) for r in sequence.group_words(df, F.col("grp"), "doc").where("grp = 'g'").collect())
+    assert [v for _, piece in words for v in piece] == x
+    got = {r.lag: (r.n, r.r) for r in sequence.word_lag_correlation(df, F.col("grp"), "doc").collect()}
+    assert got == {lag: (len(x), pytest.approx(resample.lag_statistic(lag)(x), abs=1e-6)) for lag in sequence.LAGS}
     seqs = spark.createDataFrame([(1, x[:9000])], "id int, x array<int>")
     for r in (*sequence.lag_correlation(seqs).collect(), *resample.lag_battery(seqs, sequence.LAGS).withColumnRenamed("observed_r", "r").collect()):
-        assert r.n == 9000 and r.r == pytest.approx(resample.lag_r(x[:9000], r.lag), abs=1e-6)
+        assert r.n == min(len(x), 9000) and r.r == pytest.approx(resample.lag_statistic(r.lag)(x[:9000]), abs=1e-6)
 
 
 def test_exact_mode_follows_the_published_order_of_draws():
@@ -106,26 +110,48 @@ def test_exact_mode_follows_the_published_order_of_draws():
     rng, s, hits = random.Random(resample.SEED), list(x), 0
     for _ in range(50):
         rng.shuffle(s)
-        hits += abs(resample.lag_r(s, 1)) >= abs(resample.lag_r(x, 1))
-    assert resample.permuted_lag(x, 1, 50)["p_value"] == (hits + 1) / 51
+        hits += abs(resample.lag_statistic(1)(s)) >= abs(resample.lag_statistic(1)(x))
+    assert resample.shuffle_test(x, resample.lag_statistic(1), 50)["p_value"] == (hits + 1) / 51
     rng = random.Random(resample.SEED)
     means = sorted(statistics.fmean([x[rng.randrange(8)] for _ in range(8)]) for _ in range(40))
-    got = resample.bootstrap_mean(x, 40)
-    assert (got["ci_lo"], got["ci_hi"]) == (means[1], means[38])
+    got = resample.interval(x, reps=40)
+    assert (got["lo"], got["hi"]) == (means[1], means[38])
 
 
 def test_modes_agree_roughly():
     rng = random.Random(4)
     a, b = [rng.gauss(0, 1) for _ in range(60)], [rng.gauss(0.3, 1) for _ in range(50)]
-    for f in (resample.bootstrap_difference, resample.permuted_difference):
-        e, s = f(a, b, 400), f(a, b, 400, mode="scale")
+    tests = (lambda mode: resample.interval(a, b, reps=400, mode=mode), lambda mode: resample.shuffle_test(a + b, resample.split_statistic(len(a)), 400, mode=mode))
+    for f in tests:
+        e, s = f("exact"), f("scale")
         for k in e:
             assert s[k] == pytest.approx(e[k], abs=0.12)
-    e, s = resample.permuted_lag(a, 2, 400)["p_value"], resample.permuted_lags(a, (2,), 400)[0]["p_value"]
+    e, s = resample.shuffle_test(a, resample.lag_statistic(2), 400)["p_value"], resample.shuffled_lags(a, (2,), 400)[0]["p_value"]
     assert s == pytest.approx(e, abs=0.1)
-    gaps = [rng.randint(1, 30) for _ in range(300)]
-    assert resample.uniform_mod_k(gaps, 4, 300)["p_value"] == pytest.approx(resample.uniform_mod_k(gaps, 4, 300, mode="scale")["p_value"], abs=0.1)
-    assert resample.uniform_mod_k([1] * 9, 2)["p_value"] is None and resample.bootstrap_mean([])["mean"] is None
+    gaps = resample.residues([rng.randint(1, 30) for _ in range(300)], 4)
+    assert resample.faces_test(gaps, 300)["p_value"] == pytest.approx(resample.faces_test(gaps, 300, mode="scale")["p_value"], abs=0.1)
+    assert resample.faces_test([4, 5])["status"] == resample.TOO_FEW and resample.interval([])["estimate"] is None
+
+
+def test_pairs_dealt_anew_agree_with_shuffles():
+    rng = random.Random(2)
+    x = [rng.randint(1, 6) for _ in range(400)]
+    for k in range(40, 400):  # some order
+        if rng.random() < 0.06:
+            x[k] = x[k - 1]
+    pairs = Counter(zip(x[:-1], x[1:]))
+    a, b, c = (np.array(v) for v in zip(*((a, b, n) for (a, b), n in pairs.items())))
+    r, p = resample.paired_test(a.astype(float), b.astype(float), c, 600)
+    want = resample.shuffle_test([float(v) for v in x], resample.lag_statistic(1), 600)
+    assert r == pytest.approx(want["observed"]) and p == pytest.approx(want["p_value"], abs=0.06)
+    assert resample.paired_test(np.ones(1), np.ones(1), np.array([9]), 5) == (None, None)
+
+
+def test_exact_mode_takes_values_in_their_order(spark):
+    x = [float(v) for v in (3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)], "grp string, at int, x double").repartition(3)
+    want, got = resample.interval(x, reps=500), resample.bootstrap_groups(df, mode="exact").first()
+    assert (got.ci_lo, got.ci_hi) == (want["lo"], want["hi"])
 
 
 def test_group_tests_use_all_values(spark):
@@ -153,13 +179,14 @@ def test_counts_are_dealt_without_replacement():
     assert draws[:, 2].var() == pytest.approx(9 * 5 / 36 * 31 / 36 * 27 / 35, rel=0.1)
 
 
-def test_gaps_of_all_marker_sets_are_logged(spark):
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_all_batteries_are_logged(spark):
     q, folder = catalogue.queries(), "/root/testdata/sf0.001"
     gaps = q["gap_periodicity"](spark, folder).cache()
     assert {r.marker for r in gaps.select("marker").distinct().collect()} == set(sequence.MARKERS)
-    chi = {(r.marker, r.grp, r.k): r.chi2 for r in q["gap_chi2_all"](spark, folder).collect()}
+    chi = {(r.marker, r.grp, r.k): r.chi2 for r in q["gap_chi2"](spark, folder).collect()}
     assert chi == {(r.marker, r.grp, r.k): r.chi2 if r.chi2 is None else pytest.approx(r.chi2, abs=1e-5) for r in gaps.collect()}
-    tests = q["permutation_autocorr"](spark, folder).where("p_value is not null").count() + gaps.where("p_value is not null").count()
+    tests = sum(q[name](spark, folder).where("p_value is not null").count() for name in ("permutation_autocorr", "permutation_words", "punct_p", "dialogue_tests")) + gaps.where("p_value is not null").count()
     assert q["battery_ledger"](spark, folder).first().n_tests == tests
 
 
