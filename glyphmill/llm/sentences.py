@@ -1,7 +1,8 @@
 """Sentence units with their places, for texts of any language and script.
 
 A pushdown automaton runs over the marks of a text. Its stack holds the open quotations and brackets; no
-mark inside one ends a unit. Marks that never close within their block of lines aren't opened. At a full
+mark inside one ends a unit. A second stack holds the open list levels, by indent: in a block with several
+items each begins a unit, the mark before it ends none, and lines below it belong to it. Marks that never close within their block of lines aren't opened. At a full
 stop, a trie of abbreviations, read backwards, tells whether it may end a sentence. Texts are compared in
 a form of equal length in which look-alike letters are Latin and full-width ones plain; characters
 without width are stepped over.
@@ -38,6 +39,7 @@ CLOSERS = frozenset("»”“」』)]）】》〉›\"’'")
 EVENT = re.compile(r"[.!?…。！？｡．।॥؟۔‽⸮።᙮᠃⁇⁈⁉«»“”„「」『』()\[\]（）【】《》〈〉‹›\"]|(?<=[฀-๿])\s+(?=\S)")
 BLANK_LINE = re.compile(r"[^\S\n]*\n(?:[^\S\n]*\n)+[^\S\n]*")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ITEM = re.compile(r"^([ \t]*)([-*•‣◦▪]|\(?\d{1,3}[.)]|\(?[a-z]\))[ \t]+(?=\S)", re.MULTILINE)
 
 
 @functools.lru_cache(maxsize=1)
@@ -156,13 +158,13 @@ def _speech(s: str, k: int, end: int) -> bool:
     if ch in QUOTES:
         return False
     stop = k
-    while stop < min(end, k + 160) and s[stop] not in ".!?…。！？।؟«“„「\"":
+    while stop < end and s[stop] not in ".!?…。！？।؟«“„「\"":
         stop += 1
     part = s[k:stop]
     if any(x in part for x in SPEECH_SIGNS):
         return True
     shown = "".join(c for c in part if not _widthless(c))
-    return any(w.lower().replace("’", "'") in _speech_plain() for w in WORD.findall(shown)[:12])
+    return any(w.lower().replace("’", "'") in _speech_plain() for w in WORD.findall(shown))
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,12 +172,46 @@ def _speech_plain() -> frozenset[str]:
     return frozenset(w.translate(plain_table()).lower() for w in SPEECH)
 
 
+def _items(s: str, start: int, end: int) -> dict[int, int]:
+    """Where the items of the lists in the block begin, and where their text does.
+
+    An item opens a level if its line starts the block or follows the end of a sentence or a colon, and a level
+    holds items of one kind of mark only; a level with a single item is no list.
+    """
+    levels: list[tuple[int, str, list[tuple[int, int]]]] = []
+    found: dict[int, int] = {}
+
+    def close(least: int) -> None:
+        while levels and levels[-1][0] >= least:
+            items = levels.pop()[2]
+            if len(items) > 1:
+                found.update(items)
+
+    for m in ITEM.finditer(s, start, end):
+        if m.start() > start and s[m.start() - 1] != "\n":
+            continue
+        indent, kind = len(m[1].expandtabs()), re.sub(r"\w+", "1", m[2])
+        close(indent + 1)
+        if levels and levels[-1][0] == indent and levels[-1][1] == kind:
+            levels[-1][2].append((m.start(2), m.end()))
+            continue
+        before = s[start : m.start()].rstrip()[-1:]
+        if not before or levels or before in ENDS + FULL + ":：" or before in CLOSERS:
+            if levels and levels[-1][0] == indent:
+                close(indent)
+            levels.append((indent, kind, [(m.start(2), m.end())]))
+    close(0)
+    return found
+
+
 class _Block:
     """The automaton over one block of lines, from ``start`` to ``end``; ``out`` gets (start, end) of its units."""
 
     def __init__(self, s: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         self.s, self.end, self.out, self.unit = s, end, out, _next(s, start, end)
         self.match = _matched(s, start, end)
+        items = _items(s, start, end) if "\n" in s[start:end] else {}
+        self.items, self.ends = sorted(items), items
 
     def cut(self, at: int) -> None:
         """End the unit at ``at``, after marks, closing signs and pictures that belong to it."""
@@ -197,9 +233,14 @@ class _Block:
 
     def run(self) -> None:
         s, end = self.s, self.end
-        self.at = self.unit
+        self.at, k_item = self.unit, 0
         while self.at < end:
             m = EVENT.search(s, self.at, end)
+            while k_item < len(self.items) and self.items[k_item] < self.at:
+                k_item += 1
+            if k_item < len(self.items) and (not m or self.items[k_item] <= m.start()):
+                self.item(self.items[k_item])
+                continue
             if not m:
                 break
             ch, k = m[0], m.start()
@@ -217,6 +258,12 @@ class _Block:
         if self.unit < end:
             self.out.append((self.unit, end))
 
+    def item(self, at: int) -> None:
+        """The next item of a list: it begins a unit, and its mark ends none."""
+        if self.unit < at:
+            self.out.append((self.unit, at))
+        self.unit, self.at = at, self.ends[at]
+
     def quoted(self, start: int, close: int) -> None:
         """A whole quotation or bracket: the unit may end after it, if a mark ends what stands in it."""
         s, first = self.s, start == self.unit
@@ -294,8 +341,11 @@ class _Block:
 
     def initial(self, dot: int) -> bool:
         """Whether the unit so far is a single letter, as if an initial had lost its capital."""
-        shown = [c for c in self.s[self.unit : dot] if not _widthless(c)] if dot - self.unit < 8 else []
-        return len(shown) == 1 and shown[0].isalpha()
+        k, shown = self.unit, ""
+        while k < dot and len(shown) < 2:
+            shown += "" if _widthless(self.s[k]) else self.s[k]
+            k += 1
+        return len(shown) == 1 and shown.isalpha()
 
     def blank(self, k: int, last: int) -> None:
         """A blank after Thai: it ends a unit, unless a number stands next to it."""

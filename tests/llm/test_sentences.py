@@ -20,6 +20,10 @@ CASES = [
     ("It was 8 a\u200b.m. wh\u00aden he le\u2060ft. Bye.", ["It was 8 a\u200b.m. wh\u00aden he le\u2060ft.", "Bye."]),
     ('An open "mark never closes. Still two.', ['An open "mark never closes.', "Still two."]),
     ("a.\n \n\u3000b", ["a.", "b"]),
+    ("Take:\n1. the saw. It cuts.\n2. the lid\n   of tin\n   - red\n   - blue\n3. all of it", ["Take:", "1. the saw.", "It cuts.", "2. the lid\n   of tin", "- red", "- blue", "3. all of it"]),
+    ("It fell in\n12. A dash\n- is no list, and\n- nor is this.", ["It fell in\n12.", "A dash\n- is no list, and\n- nor is this."]),
+    ("- Only one mark. Not a list.", ["- Only one mark.", "Not a list."]),
+    ('"Go!" the tall and patient keeper of the long grey bridge that ran across the river beside the mill where Ann and all of her many friends used to walk each single evening in most years said. Bo left.', ['"Go!" the tall and patient keeper of the long grey bridge that ran across the river beside the mill where Ann and all of her many friends used to walk each single evening in most years said.', "Bo left."]),
 ]
 
 
