@@ -153,7 +153,10 @@ class ByteDiff:
             yield from byte_differences(bytes(a), bytes(b))
 
 
-@udtf(returnType=_schema("a_codepoints", "b_codepoints", "a_escaped", "b_escaped", "a_context", "b_context", "classification"))
+CHAR_SCHEMA = _schema("a_codepoints", "b_codepoints", "a_escaped", "b_escaped", "a_context", "b_context", "classification")
+
+
+@udtf(returnType=CHAR_SCHEMA)
 class CharDiff:
     """Table function: the differing stretches of two texts, each with its kind."""
 
@@ -202,8 +205,13 @@ def repeat_pairs(docs: DataFrame, pairs: DataFrame, keys: list[str], item: str,
     return a.join(b, [*keys, "item_a", "item_b"], "full")
 
 
+def flagged_count(text):
+    """How many characters fall into a bucket of the group rates."""
+    return F.length(F.regexp_replace(text, r"[\t\n\r\x20-\x7F]", ""))
+
+
 def repeat_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Identity, lengths and word Jaccard of pairs of texts; a missing text is empty, and named so in ``status``."""
     a, b = (F.coalesce(f"text_{x}", F.lit("")) for x in "ab")
     status = F.when(F.col("text_a").isNull() | F.col("text_b").isNull(), "incomplete").otherwise("complete")
-    return pairs.select(*keys, "item_a", "item_b", status.alias("status"), (a == b).alias("identical"), F.length(a).alias("chars_a"), F.length(b).alias("chars_b"), F.round(word_jaccard(a, b), 6).alias("word_jaccard"))
+    return pairs.select(*keys, "item_a", "item_b", status.alias("status"), (a == b).alias("identical"), F.length(a).alias("chars_a"), F.length(b).alias("chars_b"), flagged_count(a).alias("flagged_a"), flagged_count(b).alias("flagged_b"), F.round(word_jaccard(a, b), 6).alias("word_jaccard"))

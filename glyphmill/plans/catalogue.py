@@ -211,7 +211,7 @@ def _ngram_queries() -> None:
         sql = f"with {_BASE}, {_WORDS}, seq as (select grp, word, row_number() over (partition by grp order by doc, k) as idx from each), all_ as (select grp, idx, {gram} as gram from seq window w as (partition by grp order by idx)), grams as (select * from all_ where gram is not null)"
         query(_distinctive_sql(sql, 3 if n <= 2 else 2), f"word_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_words(docs(spark, folder), _lang(), "doc_id", n))
     for n in (1, 2, 3, 4):
-        joined = f"joined as (select grp, regexp_replace({D.strip('lower(string_agg(text, chr(0) order by doc))').replace('chr(0)', D.q(''))}, {D.q(T.SPACE + '+')}, ' ', 'g') as t from base group by 1)"
+        joined = f"joined as (select grp, regexp_replace({D.strip('lower(string_agg(text, chr(0) order by doc))').replace('chr(0)', D.q(''))}, {D.q(D.SPACE + '+')}, ' ', 'g') as t from base group by 1)"
         gram = " || ".join(["ch", *(f"lead(ch, {k}) over w" for k in range(1, n))])
         sql = f"with {_BASE}, {joined}, seq as (select grp, unnest({D.chars('t')}) as ch, generate_subscripts({D.chars('t')}, 1) as idx from joined where t <> ''), all_ as (select grp, idx, {gram} as gram from seq window w as (partition by grp order by idx)), grams as (select * from all_ where gram is not null)"
         query(_distinctive_sql(sql, 5), f"char_ngrams_{n}")(lambda spark, folder, n=n: lexical.distinctive_characters(docs(spark, folder), _lang(), "doc_id", n))
@@ -454,23 +454,33 @@ _SET = f"list_distinct(list_transform({{words}}, lambda w: lower(w)))"
 
 
 def _repeat_pairs(spark, folder):
-    m = records.latest(manifest(spark, folder).where("kind = 'model_output'").select("sample_id", "ingested_at", "model_slug", "prompt_id", "text"), "sample_id", "ingested_at")
-    first = m.withColumn("item", records.clean_id(F.col("prompt_id"))).groupBy("model_slug", "item").agg(F.min(F.struct("sample_id", "text")).alias("x")).select("model_slug", "item", "x.text")
+    """A model's answers to prompts that repeat one another. A cell holds one text, as the published comparison has it: that of the least id with one."""
+    m = manifest(spark, folder).where("kind = 'model_output'").select("sample_id", "model_slug", "prompt_id", "text")
+    first = m.withColumn("item", records.clean_id(F.col("prompt_id"))).groupBy("model_slug", "item").agg(F.min(F.when(F.col("text").isNotNull(), F.struct("sample_id", "text"))).alias("x")).select("model_slug", "item", "x.text")
     pairs = spark.createDataFrame(_REPEATS, "item_a string, item_b string")
     return compare.repeat_pairs(first, pairs, ["model_slug"], "item")
 
 
-_REPEAT_SQL = f"""with m as (select model_slug, upper(trim(prompt_id)) as item, sample_id, any_value(text) as text from manifest where kind = 'model_output' group by 1, 2, 3), f as (select model_slug, item, arg_min(struct_pack(t := text), sample_id).t as text from m group by 1, 2),
+_FLAGGED_SQL = "length(regexp_replace({t}, '[\\t\\n\\r\\x20-\\x7F]', '', 'g'))"
+_REPEAT_SQL = f"""with m as (select model_slug, upper(trim(prompt_id)) as item, sample_id, any_value(text) as text from manifest where kind = 'model_output' group by 1, 2, 3), f as (select model_slug, item, arg_min(text, sample_id) filter (where text is not null) as text from m group by 1, 2),
 pr as (select unnest([{', '.join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in _REPEATS)}], recursive := true)), fa as (select model_slug, a, b, text from f join pr on item = a), fb as (select model_slug, a, b, text from f join pr on item = b),
 j as (select coalesce(fa.model_slug, fb.model_slug) as model_slug, coalesce(fa.a, fb.a) as item_a, coalesce(fa.b, fb.b) as item_b, fa.text as ta, fb.text as tb from fa full join fb on fa.model_slug = fb.model_slug and fa.a = fb.a and fa.b = fb.b),
 w as (select *, coalesce(ta, '') as a, coalesce(tb, '') as b, {_SET.format(words=D.words("coalesce(ta, '')"))} as wa, {_SET.format(words=D.words("coalesce(tb, '')"))} as wb from j)"""
 
 
-@query(f"{_REPEAT_SQL} select model_slug, item_a, item_b, case when ta is null or tb is null then 'incomplete' else 'complete' end as status, a = b as identical, length(a) as chars_a, length(b) as chars_b, round(len(list_intersect(wa, wb))::double / nullif(len(list_distinct(list_concat(wa, wb))), 0), 6) as word_jaccard from w")
+@query(f"{_REPEAT_SQL} select model_slug, item_a, item_b, case when ta is null or tb is null then 'incomplete' else 'complete' end as status, a = b as identical, length(a) as chars_a, length(b) as chars_b, {_FLAGGED_SQL.format(t='a')} as flagged_a, {_FLAGGED_SQL.format(t='b')} as flagged_b, round(len(list_intersect(wa, wb))::double / nullif(len(list_distinct(list_concat(wa, wb))), 0), 6) as word_jaccard from w")
 def repeat_similarity(spark, folder):
     return compare.repeat_similarity(_repeat_pairs(spark, folder), ["model_slug"])
 
 
+@query()
+def repeat_flags(spark, folder):
+    """The flagged characters of both texts by bucket."""
+    p = _repeat_pairs(spark, folder)
+    of = lambda side: F.to_json(scan.rate_counts(F.regexp_extract_all(F.coalesce(f"text_{side}", F.lit("")), F.lit(ODD), F.lit(0))))
+    return p.select("model_slug", "item_a", "item_b", of("a").alias("flagged_a"), of("b").alias("flagged_b"))
+
+
 @query()
 def repeat_ratio(spark, folder):
     p = _repeat_pairs(spark, folder)
@@ -494,6 +504,16 @@ def byte_differences(spark, folder):
     return compare.differences(_route_pairs(spark, folder), "byte")
 
 
+_PAIRS_SQL = "with m as (select sample_id, any_value(from_base64(content_b64)) as source from manifest group by 1), r as (select probe_id, route, any_value(sample_id) as sample_id, any_value(content) as content from route_results group by 1, 2), p as (select probe_id || ':' || route as id, source as a, content as b from r join m using (sample_id))"
+
+
+@query(f"{_PAIRS_SQL} select id, sha256(a) as sha256_a, sha256(b) as sha256_b, octet_length(a) as bytes_a, octet_length(b)::double as bytes_b, (sha256(a) = sha256(b))::varchar as byte_identical from p")
+def pair_hashes(spark, folder):
+    """``pair_comparison`` without the kinds of difference."""
+    c = pair_comparison(spark, folder)
+    return c.select("id", "sha256_a", "sha256_b", "bytes_a", F.col("bytes_b").cast("double").alias("bytes_b"), F.col("byte_identical").cast("string").alias("byte_identical"))
+
+
 @query()
 def pair_comparison(spark, folder):
     return compare.comparison(_route_pairs(spark, folder))
@@ -555,6 +575,19 @@ def manifest_provenance(spark, folder):
     return records.with_provenance(m, read_table(spark, folder, "provenance"), "control_id").select("sample_id", "control_id", "control_class", "control_source", "control_description")
 
 
+@query(f"with t as (select doc_id, coalesce(source, 'none') as grp, text from documents where text is not null) select doc_id, grp, length(text) as chars, octet_length(encode(text)) as bytes, {_FLAGGED_SQL.format(t='text')} as flagged, not regexp_matches(text, '[^\\x00-\\x7F]') as pure_ascii from t")
+def file_flags(spark, folder):
+    """The per-file part of a group's load: sizes, and how many flagged characters; their buckets are in the operator's map."""
+    f = scan.file_flags(docs(spark, folder), "doc_id", "text", _source().alias("grp"))
+    total = F.aggregate(F.map_values("flagged"), F.lit(0), lambda a, v: a + v)
+    return f.select(F.col("id").alias("doc_id"), "grp", "chars", "bytes", total.alias("flagged"), "pure_ascii")
+
+
+def analysis(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an analysis document, for ``sinks.write_analysis`` and ``sinks.summary_text``."""
+    return {name: _QUERIES[name](spark, folder) for name in ("bucket_rates", "file_flags", "ascii_violations", "typography_by_genre", "repeat_similarity", "pooled_hidden")}
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from glyphmill.functions.chartables import BIDI, CONFUSABLE_MARKS, HOMOGLYPHS, HOMOGLYPHS_RATES, INVISIBLE, SPACES, TYPOGRAPHIC, TYPOGRAPHIC_RATES
-from glyphmill.functions.stats import Z
-from glyphmill.functions.text import PUNCTUATION, SPACE
+# Fixed values, stated here once more and not taken from the engine, so that a wrong or missing entry there shows.
+Z = 1.959963984540054
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+INVISIBLE = (0xAD, 0x61C, 0x180E, 0x200B, 0x200C, 0x200D, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF)
+BIDI = (0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069)
+SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+TYPOGRAPHIC = (*range(0x2010, 0x2016), *range(0x2018, 0x2020), 0x2026)
+TYPOGRAPHIC_RATES = (*TYPOGRAPHIC, 0x2032, 0x2033)
+CONFUSABLE_MARKS = (0xB4, 0x2BC, 0x37E, 0x589, 0x5C3, 0x2032, 0x2033, 0x2044, 0x2215)
+HOMOGLYPHS = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈαικνορυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+HOMOGLYPHS_RATES = "аеорсухοναεіј"
+PUNCTUATION = {"comma": ",", "period": ".", "semicolon": ";", "colon": ":", "question": "?", "exclamation": "!", "em_dash": "—", "en_dash": "–", "hyphen_minus": "-", "ellipsis_char": "…", "curly_quote": "‘’“”", "straight_quote": "'\"", "paren_open": "(", "paren_close": ")"}
 
 CUT = "chr(57344)"
 

@@ -39,6 +39,20 @@ def write_analysis(spark: SparkSession, tables: dict[str, DataFrame], path: str)
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def summary_text(tables: dict[str, DataFrame], categories: tuple[str, ...] = ("invisible", "bidi", "tag", "variation_selector", "nonascii_space", "typographic")) -> str:
+    """An analysis for a terminal: rates of each group, the pooled bound, offenders against ASCII. One row for each group is read."""
+    rates: dict[str, dict[str, float]] = {}
+    for r in tables["bucket_rates"].where(F.col("category").isin(*categories)).collect():
+        rates.setdefault(r.grp, {})[r.category] = r.per_1k
+    out = ["flagged characters per 1,000", " ".join(["group".ljust(24), *(c[:14].rjust(14) for c in categories)])]
+    out += [" ".join([shown(g).ljust(24), *(str(row.get(c)).rjust(14) for c in categories)]) for g, row in sorted(rates.items())]
+    p = tables["pooled_hidden"].first()
+    out.append(f"hidden characters: {p.hidden} in {p.total_chars}; 95% upper bound {p.wilson_upper_per_1k_chars} per 1,000")
+    bad = tables["ascii_violations"].groupBy("grp").agg(F.sum("n").alias("n")).orderBy("grp").collect()
+    out += [f"ASCII-only texts of {shown(r.grp)}: {r.n} other characters" for r in bad]
+    return "\n".join([*out, NOTE])
+
+
 def report_text(report: Row, positions: int = 20, contexts: int = 5) -> str:
     """A scan report of one document, in ASCII only."""
     out = [f"document: {shown(str(report.id))}", f"sha256:   {report.sha256}", f"size:     {report.utf8_bytes} bytes, {report.char_count} characters"]

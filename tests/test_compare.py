@@ -81,3 +81,21 @@ def test_records_verify(spark, tmp_path):
         records.verified(broken).collect()
     both = records.union_kinds(made, made.withColumn("more", made.kind))
     assert both.count() == 6 and both.where("more is null").count() == 3
+
+
+def test_long_stretches_are_cut_at_lines(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    lines = [f"line {k} " + "".join(rng.choice("abcdef ") for _ in range(30)) for k in range(120)]
+    a = "\n".join(lines)
+    edited = [x.replace("line", "LINE") if k % 17 == 3 else x for k, x in enumerate(lines) if k % 29]
+    b = "\n".join(edited[:60] + ["new"] + edited[60:])
+    for most in (1 << 24, 500):
+        monkeypatch.setattr(compare, "MATCHED", most)
+        for x, y in ((a, b), (a.encode(), b.encode()), ("abc", "abXc"), ("", "x"), ("same", "same")):
+            at_a = at_b = 0
+            for op, i, j, k, m in compare._opcodes(x, y):
+                assert x[at_a:i] == y[at_b:k] and op != "equal" and (x[i:j] or y[k:m])
+                at_a, at_b = j, m
+            assert x[at_a:] == y[at_b:]
