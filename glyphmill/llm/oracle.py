@@ -10,6 +10,11 @@ g as (select distinct sample_id, hash(array_to_string(w[i:i + 2], ' ')) as gram
 p as (select a.sample_id as sample_id_a, b.sample_id as sample_id_b, count(*) as shared from g a join g b on a.gram = b.gram and a.sample_id < b.sample_id group by 1, 2)
 select sample_id_a, sample_id_b from p join n a on a.sample_id = sample_id_a join n b on b.sample_id = sample_id_b where 10 * shared >= 6 * (a.n + b.n - shared)"""
 
+P1_LINKS = f"""with r as (select distinct sample_id, md5(text) as m, text from manifest where sample_id is not null and text is not null), w as (select m, {WORDS} as w from (select distinct m, text from r)), k as (select * from w where len(w) >= 40),
+g as (select distinct m, hash(array_to_string(w[i:i + 2], ' ')) as gram from (select m, w, unnest(range(1, len(w) - 1)) as i from k)), n as (select m, count(*) as n from g group by 1),
+p as (select a.m as x, b.m as y, count(*) as shared from g a join g b on a.gram = b.gram and a.m <> b.m group by 1, 2), l as (select x as m, count(*) as links from p join n a on a.m = x join n b on b.m = y where 10 * shared >= 6 * (a.n + b.n - shared) group by 1)
+select sample_id, m as class_id, coalesce(links, 0)::bigint as links from r left join l using (m)"""
+
 P2 = f"""with r as (select sample_id, any_value(text) as text, any_value(model_id) as model_id from manifest group by 1), v as (select sample_id, 'text' as field, unnest(list_distinct({WORDS})) as value from r union all select sample_id, 'model_id', model_id from r where model_id is not null),
 c as (select field, value, count(*) as n from v group by 1, 2), m as (select field, value, case when n <= 2 then 'rare' when n > 0.2 * (select count(*) from r) then 'common' end as mark from c)
 select field, value, mark from m where mark is not null"""
@@ -63,4 +68,4 @@ n as (select class_id, count(distinct stored_id) as spellings, count(*) as recor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p2_changes": P2_CHANGES, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p3_exact": P3_EXACT, "p8_found": P8, "p8_classes": P8_CLASSES}
+    return {"p1_found": P1, "p1_links": P1_LINKS, "p2_found": P2, "p2_counts": P2_COUNTS, "p2_changes": P2_CHANGES, "p3_found": P3, "p3_coverage": P3_COVERAGE, "p3_exact": P3_EXACT, "p8_found": P8, "p8_classes": P8_CLASSES}
